@@ -98,3 +98,16 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     nodes = nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp"))).unionByName(loops.select("node", F.col("node").alias("comp")))
     return nodes.groupBy("node").agg(F.min("comp").alias("comp"))
+
+
+def hash_limit(share: float) -> int:
+    """The limit that a share of all 63-bit hashes doesn't exceed."""
+    return 2**63 - 1 if share >= 1 else int(share * 2**53) << 10
+
+
+def bounded(df: DataFrame, bound: int, *key: str) -> DataFrame:
+    """About bound rows of df (all, if fewer), chosen by the hash of their key: a bounded training sample that reruns repeat."""
+    n = df.count()
+    if n <= bound:
+        return df
+    return df.where(F.shiftrightunsigned(F.xxhash64(*key), 1) < F.lit(hash_limit(bound / n)))

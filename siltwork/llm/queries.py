@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm import exact_dedup, maxscore, mixing, url_filter
+from siltwork.llm import exact_dedup, langid, maxscore, mixing, toxicity, url_filter
+from siltwork.llm.common import crc_of
 
 #: The rules that op1 judges by.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -26,6 +27,20 @@ def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = crc_of(F.col("doc_id")) % 4
+    model = langid.fit(docs.where(fold != 2))
+    return langid.identify(docs, model).select("doc_id", (crc_of(F.col("doc_id")) % 4 == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    fold = crc_of(F.col("doc_id")) % 5
+    model = toxicity.fit(docs, labels.where(fold != 0))
+    return toxicity.score(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted", "offending")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents")).drop("identity")
 
@@ -37,6 +52,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_maxscore": op2_maxscore,
+    "op3_language_id": op3_language_id,
+    "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_mixing": op10_mixing,
 }
