@@ -18,8 +18,8 @@ TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*")
 #: A fitting sample of so many documents for each label at most, and so many features.
 SAMPLE, FEATURES = 4000, 4096
-PREFIXES = (3, 4, 5, 6)
-STEPS, RATE, PENALTY = 300, 0.1, 1e-4
+PREFIXES = (4, 5, 6)
+STEPS, RATE, PENALTY = 300, 0.1, 3e-4
 
 
 def features_of(word: str) -> list[str]:
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     counts = counts.groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q"))
     a, b = F.col("p") / max(n[1], 1), F.col("q") / max(n[0], 1)
     worth = F.abs(a - b) / F.sqrt(a + b + F.lit(1.0 / max(min(n.values()), 1)))
-    names = sorted(r["feature"] for r in counts.where("p + q >= 3").withColumn("worth", worth).orderBy(F.col("worth").desc(), "feature").limit(features).collect())
+    names = sorted(r["feature"] for r in counts.where("p + q >= 5").withColumn("worth", worth).orderBy(F.col("worth").desc(), "feature").limit(features).collect())
     rows = bags.mapInArrow(_bags({f: k for k, f in enumerate(names)}), "toxic int, weight double, sentences int, pairs binary").collect()
     return train(rows, names)
 
