@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm import bpe, exact_dedup, langid, maxscore, mixing, toxicity, url_filter
+from siltwork.llm import bpe, exact_dedup, langid, lm, maxscore, mixing, toxicity, url_filter
 from siltwork.llm.common import crc_of
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +51,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents")).drop("identity")
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"), crc_of(F.col("doc_id")) % 5 != 1)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_lm": op9_lm,
     "op10_mixing": op10_mixing,
 }
 
