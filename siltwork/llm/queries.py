@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltwork.llm import bpe, exact_dedup, langid, lm, maxscore, mixing, toxicity, url_filter
+from siltwork.llm import bpe, exact_dedup, jaccard, langid, lm, maxscore, mixing, toxicity, url_filter
 from siltwork.llm.common import crc_of
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +51,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents")).drop("identity")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), crc_of(F.col("doc_id")) % 5 != 1)
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_jaccard": op8_jaccard,
     "op9_lm": op9_lm,
     "op10_mixing": op10_mixing,
 }
@@ -109,6 +114,17 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 SQL["op6_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))"""
+SQL["op8_jaccard"] = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, hash(x) AS h, x FROM (SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS x FROM w)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.x = b.x AND a.r < b.r GROUP BY ALL),
+e AS (SELECT a, b FROM common JOIN n na ON a = na.r JOIN n nb ON b = nb.r WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(x, y) AS (SELECT a, a FROM e2 UNION SELECT reach.x, e2.b FROM reach JOIN e2 ON reach.y = e2.a),
+c AS (SELECT x AS r, min(doc_id) AS component_id FROM reach JOIN w ON w.r = reach.y GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c.component_id, doc_id) AS component_id FROM w LEFT JOIN n USING (r) LEFT JOIN c USING (r)"""
 SQL["op10_mixing"] = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
