@@ -137,9 +137,9 @@ WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM s0),
 s2 AS (SELECT *, [3, 1, 2][k % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS cap FROM s1),
-s3 AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s2)::DOUBLE - coalesce(sum(cap) OVER o, 0)) / ((SELECT sum(weight) FROM s2) - coalesce(sum(weight) OVER o, 0))::DOUBLE AS level
+s3 AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM s2)::DOUBLE - coalesce(sum(cap) OVER o, 0)) / ((SELECT sum(weight) FROM s2) - coalesce(sum(weight) OVER o, 0))::DOUBLE AS level, row_number() OVER (ORDER BY cap / weight, k) AS place
     FROM s2 WINDOW o AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s4 AS (SELECT *, least(cap, coalesce((SELECT min(level) FROM s3 WHERE cap / weight >= level) * weight, cap)) AS target FROM s3),
+s4 AS (SELECT *, least(cap, coalesce((SELECT arg_min(level, place) FROM s3 WHERE cap / weight >= level) * weight, cap)) AS target FROM s3),
 s5 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM s4),
 s6 AS (SELECT *, target - copies * source_size AS rest FROM s5),
 c AS (SELECT source, h, sum(w) OVER (PARTITION BY source ORDER BY h) AS upto, w FROM (SELECT source, h, sum(size) AS w FROM d GROUP BY source, h)),
