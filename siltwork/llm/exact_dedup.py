@@ -84,3 +84,12 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
         F.col("doc").alias("doc_id"), F.col("last.doc").alias("keep_id"), F.col("group_size"), (F.col("row") == F.col("last.row")).alias("kept"),
         F.col("sha").alias("text_sha256"), F.struct("level", "name").alias("identity"),
     )
+
+
+def distinct_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that exact_duplicates() keeps, one of each group of equal texts, with their own columns."""
+    kept = exact_duplicates(docs, text, id_col).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_doc"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("_hash"))
+    rows = rows.join(kept, F.col("_doc").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_sha")), "left_semi")
+    # Rows that repeat in id and text are copies of each other too.
+    return rows.dropDuplicates(["_doc", "_hash"]).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -272,3 +272,14 @@ def similar_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     known = scratch.put(known.select("digest", F.coalesce("component", "first").alias("component")), "components")
     out = rows.select("doc", "n", "digest").join(known, "digest", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def unlike_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose doc_id is their component's: one document of each group, with their own columns.
+
+    Of repeated ids all rows stay, if one is its component's; rows without an id stay only if no row of their component
+    has one. Rows without words stay.
+    """
+    groups = similar_documents(docs, text, id_col, width, percent)
+    kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")

@@ -201,7 +201,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
             bad = [model.offending(t.as_py(), least) if s >= least else [] for s, t in zip(scores, batch["text"], strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(bad, spans)], [*names, "score", "predicted", "offending"])
 
+    added = ["score", "predicted", "offending"]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("text"))
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes if n != "text") + ", score double, predicted int, offending array<struct<start:int,end:int,score:double>>"
     found = rows.mapInArrow(run, schema)
-    return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "score", "predicted", "offending")
+    return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *added)
+
+
+def clean_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs that are not predicted toxic, with their own columns."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+    return score(row, model, "_text", ("_row",)).where("predicted = 0").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
