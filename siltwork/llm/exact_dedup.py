@@ -79,6 +79,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     for part in whole[1:]:
         every = every.unionByName(part)
     last = every.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc", "row")).alias("last"))
+    last = scratch.put(last, "groups")  # a table of its own: only then can the join split a hot group
     found = every.join(last, ["level", "name"])
     return found.select(
         F.col("doc").alias("doc_id"), F.col("last.doc").alias("keep_id"), F.col("group_size"), (F.col("row") == F.col("last.row")).alias("kept"),
