@@ -83,6 +83,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, url: str =
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fits = hosts.select("host", F.explode(suffixes).alias("rule_host")).join(table, "rule_host")
     fits = fits.groupBy("host").agg(F.collect_list(F.struct(F.length("rule").alias("long"), (-F.col("rule_no")).alias("first"), "rule", "rule_path", "rule_verdict")).alias("rules"))
+    fits = scratch.put(fits, "hosts")  # a table of its own: only then can the join split a hot host
     best = F.array_max(F.filter("rules", lambda r: F.col("path").startswith(r["rule_path"])))
     page = page.join(fits, "host", "left").withColumn("best", best)
     page = page.select("kept", "host", "path", "node", F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("own"))
