@@ -89,9 +89,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc")
             break
         seen, k = (state["n"], state["x"]), k + 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Minima are written before they are joined: only then can the join split a hub.
+        least = scratch.put(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{label}-large")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.put(large, f"{label}-edges")
+        least = scratch.put(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-small")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         now = scratch.put(small, f"{label}-{k}")
         scratch.drop(f"{label}-{k - 1}")
