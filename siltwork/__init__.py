@@ -1,0 +1 @@
+"""Analytics over document and mail corpora on Spark: ingest, search, mail threads, importance and retrieval quality."""
