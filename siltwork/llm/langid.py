@@ -90,7 +90,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
-        if not words or not self.langs:
+        if not words or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0
         get = self.words.get
         at = np.array([get(w, -1) for w in words])

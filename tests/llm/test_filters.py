@@ -89,7 +89,7 @@ def test_langid_backs_off():
     model.backoff("out", found, weights)
     names = {v: k for k, v in model.grams.items()}
     assert [names[f] for f in found] == ["<", "o", "ou", "t"] and sum(weights) == pytest.approx(1)
-    assert model.predict("chat")[0] == "fr" and model.predict("out")[0] == "en" and model.predict("123")[0] == "und"
+    assert model.predict("chat")[0] == "fr" and model.predict("out")[0] == "en" and model.predict("123")[0] == model.predict("½ ② 3")[0] == "und"
 
 
 def test_toxicity(spark, odd, none):
