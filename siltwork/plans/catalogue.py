@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltwork import schema
+from siltwork.functions import mail as M
 from siltwork.functions import text as T
 from siltwork.operators import chunking, dedup, dense, evaluate, fusion, importance, lexical, logs, mail, retrieve
 
@@ -298,25 +299,32 @@ def q_carry_tail(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.carry_tail(F.lag("text").over(order), schema.CHUNK_OVERLAP).alias("tail"))
 
 
-# Mails made of conversations: a reply with a quotation, a signature and a disclaimer below the text.
-_TAIL = "\nOn Monday, 3 May 2021, someone wrote:\n> quoted line"
+# Mails made of conversations: each turn is answered below a signature, with a quotation and at times a disclaimer.
+_TAIL = ("\nBest regards,\nAnn\n[cid:1]\nOn Monday, 3 May 2021, someone wrote:\n> quoted line", "\n> quoted\nsaid\nThis message is confidential\nnever read", "\n\n\n\nSent from my iPhone")
 
 
-@_query(
-    """WITH r AS (SELECT conv_id, turn, role, text FROM conversations) SELECT conv_id, turn, text IS NOT NULL AND length(trim(text)) > 0 AS has_text, (length('On Monday, 3 May 2021, someone wrote:') + length('> quoted line'))::INTEGER AS removed FROM r WHERE NOT regexp_matches(coalesce(text, ''), '\\n') AND role = 'user'"""
-)
-def q_clean_body_tail(spark, sf_dir):
-    from siltwork.functions.mail import clean_body
+def _alternatives(patterns: tuple[str, ...]) -> str:
+    return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
 
-    rows = _t(spark, sf_dir, "conversations").where(~F.coalesce("text", F.lit("")).rlike("\n") & (F.col("role") == "user")).withColumn("mail", F.concat(F.coalesce("text", F.lit("")), F.lit(_TAIL)))
-    return clean_body(rows, "mail", ("conv_id", "turn")).select("conv_id", "turn", (F.length(F.trim("body")) > 0).alias("has_text"), F.col("quoted_removed_chars").alias("removed"))
 
+def _tail_sql(k: int) -> str:
+    return "'" + _TAIL[k].replace("\n", "' || chr(10) || '") + "'"
 
-@_query()
-def q_clean_body(spark, sf_dir):
-    from siltwork.functions.mail import clean_body
 
-    return clean_body(_t(spark, sf_dir, "conversations"), "text", ("conv_id", "turn"))
+@_query(
+    rf"""WITH a AS (SELECT conv_id, turn, list_filter(string_split(replace(replace(coalesce(text, '') || CASE turn % 3 WHEN 0 THEN {_tail_sql(0)} WHEN 1 THEN {_tail_sql(1)} ELSE {_tail_sql(2)} END, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: NOT regexp_matches(x, '{_alternatives(M.NOISE + M.MOBILE_FOOTERS)}')) AS l FROM conversations),
+b AS (SELECT *, list_min(list_filter(range(2, len(l) + 1), lambda i: regexp_matches(l[i], '{_alternatives(M.QUOTE_HEADERS)}'))) AS q FROM a),
+c AS (SELECT *, CASE WHEN q IS NULL THEN l ELSE l[1:q - 1] END AS k, CASE WHEN q IS NULL THEN 0 ELSE list_sum(list_transform(l[q:], lambda x: length(x))) END AS ra FROM b),
+d AS (SELECT *, list_filter(k, lambda x: NOT regexp_matches(x, '{M.QUOTED}')) AS m, ra + coalesce(list_sum(list_transform(list_filter(k, lambda x: regexp_matches(x, '{M.QUOTED}')), lambda x: length(x))), 0) AS removed FROM c),
+e AS (SELECT *, list_min(list_filter(range(1, len(m) + 1), lambda i: regexp_matches(m[i], '{_alternatives(M.DISCLAIMERS)}'))) AS ds FROM d),
+f AS (SELECT *, CASE WHEN ds IS NULL THEN m ELSE m[1:ds - 1] END AS n FROM e),
+g AS (SELECT *, list_max(list_filter(range(greatest(1, len(n) - 14), len(n) + 1), lambda i: regexp_matches(n[i], '{_alternatives(M.SIGNATURES)}'))) AS sg FROM f)
+SELECT conv_id, turn, {_STRIP.format(x="array_to_string(CASE WHEN sg IS NULL THEN n ELSE n[1:sg - 1] END, chr(10))")} AS body, removed::INTEGER AS quoted_removed_chars, sg IS NOT NULL AS signature_removed, ds IS NOT NULL AS disclaimer_removed FROM g"""
+)
+def q_clean_body(spark, sf_dir):
+    tail = F.element_at(F.array(*[F.lit(t) for t in _TAIL]), (F.col("turn") % 3 + 1).cast("int"))
+    rows = _t(spark, sf_dir, "conversations").withColumn("mail", F.concat(F.coalesce("text", F.lit("")), tail))
+    return M.clean_body(rows, "mail", ("conv_id", "turn"))
 
 
 # Mails made of orders: a customer writes, a supplier-like address receives; ids are text.
