@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, as every operator here counts it: a run without ASCII white space.
@@ -81,13 +81,17 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc")
     """
     now = edges.select(F.col("src"), F.col("dst")).where("src is not null and dst is not null")
     loops = now.where("src = dst").select(F.col("src").alias("node")).distinct()
-    now = scratch.put(now.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), f"{label}-0")
-    seen, k = None, 0
-    while True:
-        state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if (state["n"], state["x"]) == seen or not state["n"]:
-            break
-        seen, k = (state["n"], state["x"]), k + 1
+
+    def put(rows: DataFrame, k: int) -> tuple[DataFrame, tuple]:
+        """The edges written, and what tells whether they have changed, seen while they are written."""
+        seen = Observation()
+        out = scratch.put(rows.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), f"{label}-{k}")
+        return out, (seen.get["n"], seen.get["x"])
+
+    now, state = put(now.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), 0)
+    last, k = None, 0
+    while state[0] and state != last:
+        last, k = state, k + 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Minima are written before they are joined: only then can the join split a hub.
         least = scratch.put(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{label}-large")
@@ -95,7 +99,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str = "cc")
         large = scratch.put(large, f"{label}-edges")
         least = scratch.put(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-small")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = scratch.put(small, f"{label}-{k}")
+        now, state = put(small, k)
         scratch.drop(f"{label}-{k - 1}")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     nodes = nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp"))).unionByName(loops.select("node", F.col("node").alias("comp")))

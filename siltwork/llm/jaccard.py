@@ -115,9 +115,31 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(flat[i : i + (1 << 17)]), pa.array(rows[i : i + (1 << 17)])], ["signature", "row"])
 
 
+def contracted(edges: np.ndarray) -> np.ndarray:
+    """Edges from each node to the least node that it is connected with, for the same components."""
+    nodes, ends = np.unique(edges.ravel(), return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, label[a], low)
+        np.minimum.at(after, label[b], low)
+        after = after[after]
+        if (after == label).all():
+            moved = label != np.arange(len(nodes))
+            return np.stack([nodes[moved], nodes[label[moved]]], 1)
+        label = after
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of signature: an edge from each row to the first with its signature."""
-    last, hub = None, 0
+    """From rows in order of signature: edges that connect the rows of a signature, contracted a million at a time."""
+    last, hub, held, size = None, 0, [], 0
+
+    def out() -> pa.RecordBatch:
+        edges = contracted(np.concatenate(held))
+        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["src", "dst"])
+
     for batch in batches:
         signature, row = np.asarray(batch["signature"]), np.asarray(batch["row"])
         if not len(row):
@@ -126,9 +148,14 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[0] = last is None or signature[0] != last
         place = np.maximum.accumulate(np.where(new, np.arange(len(row)), -1))
         first = np.where(place >= 0, row[np.maximum(place, 0)], hub)
-        edges = np.unique(np.stack([row, first], 1)[~new & (row != first)], axis=0)
+        held.append(np.stack([row, first], 1)[~new & (row != first)])
+        size += len(held[-1])
         last, hub = signature[-1], int(first[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["src", "dst"])
+        if size > 1_000_000:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
 
 
 class Tree:
@@ -210,7 +237,10 @@ def _verified(width: int, percent: int):
         for held in clusters.values():
             names = sorted(held)
             if len(names) > 1:
-                edges += [(names[a], names[b]) for a, b in Links([held[m] for m in names], percent).join()]
+                found = Links([held[m] for m in names], percent)
+                found.join()
+                # Stars, as components need fewest steps for them.
+                edges += [(names[a], names[found.find(a)]) for a in range(len(names)) if found.find(a) != a]
         return pa.table({"src": pa.array([e[0] for e in edges], pa.int64()), "dst": pa.array([e[1] for e in edges], pa.int64())})
 
     return run
@@ -241,14 +271,16 @@ def similar_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
     kind = dict(texts.dtypes)["doc"]
-    rows = scratch.put(texts.mapInArrow(_signed(width, percent), f"row bigint, doc {kind}, n bigint, digest binary, signatures binary"), "rows")
-    classes = rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("class"), F.min("doc").alias("first"))
+    signed = scratch.put(texts.mapInArrow(_signed(width, percent), f"row bigint, doc {kind}, n bigint, digest binary, signatures binary"), "signed")
+    rows = scratch.put(signed.select("row", "doc", "n", "digest", F.col("signatures").isNotNull().alias("first")), "rows")
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("class"), F.min("doc").alias("least"))
     classes = scratch.put(classes, "classes")
 
-    spread = rows.where("signatures is not null").select("row", "signatures").mapInArrow(_spread, "signature bigint, row bigint")
+    spread = signed.where("signatures is not null").select("row", "signatures").mapInArrow(_spread, "signature bigint, row bigint")
     stars = spread.repartition("signature").sortWithinPartitions("signature", "row").mapInArrow(_stars, "src bigint, dst bigint")
-    same = rows.where("signatures is not null").select("row", "digest").join(classes, "digest").where("row <> class").select(F.col("row").alias("src"), F.col("class").alias("dst"))
+    same = rows.where("first").select("row", "digest").join(classes, "digest").where("row <> class").select(F.col("row").alias("src"), F.col("class").alias("dst"))
     edges = scratch.put(stars.distinct().unionByName(same), "edges")
+    scratch.drop("signed")
     shared = connected_components(edges, scratch, "candidates").select(F.col("node").alias("class"), F.col("comp").alias("cluster"))
     head = rows.select(F.col("row").alias("class"), "doc", "n", "digest")
     member = scratch.put(shared.join(classes.select("class"), "class").join(head, "class"), "members")
@@ -266,10 +298,10 @@ def similar_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     links = scratch.put(links, "links")
 
     found = connected_components(links, scratch, "links-cc").select(F.col("node").alias("class"), "comp")
-    found = found.join(classes, "class").select("digest", "comp", "first")
-    least = found.groupBy("comp").agg(F.min("first").alias("component"))
+    found = found.join(classes, "class").select("digest", "comp", "least")
+    least = found.groupBy("comp").agg(F.min("least").alias("component"))
     known = classes.join(found.join(least, "comp").select("digest", "component"), "digest", "left")
-    known = scratch.put(known.select("digest", F.coalesce("component", "first").alias("component")), "components")
+    known = scratch.put(known.select("digest", F.coalesce("component", "least").alias("component")), "components")
     out = rows.select("doc", "n", "digest").join(known, "digest", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"))
 
