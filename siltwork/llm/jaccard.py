@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from siltwork.llm.common import Scratch, connected_components
 from siltwork.llm.words import mix, text_runs, word_hashes
 
-#: Sizes in a band differ by this factor at most. Shingles that a unit of verification holds, about.
-BAND, UNIT = 1.3, 1 << 18
+#: Sizes in a band differ by this factor at most. Shingles that a unit of clusters holds, about, and at most those of a part
+#: of a large cluster (8 bytes each; a task holds two parts).
+BAND, UNIT, PART = 1.3, 1 << 18, 1 << 20
 LEAF = 16
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -115,31 +116,9 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(flat[i : i + (1 << 17)]), pa.array(rows[i : i + (1 << 17)])], ["signature", "row"])
 
 
-def contracted(edges: np.ndarray) -> np.ndarray:
-    """Edges from each node to the least node that it is connected with, for the same components."""
-    nodes, ends = np.unique(edges.ravel(), return_inverse=True)
-    a, b = ends.reshape(-1, 2).T
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        after = label.copy()
-        np.minimum.at(after, label[a], low)
-        np.minimum.at(after, label[b], low)
-        after = after[after]
-        if (after == label).all():
-            moved = label != np.arange(len(nodes))
-            return np.stack([nodes[moved], nodes[label[moved]]], 1)
-        label = after
-
-
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of signature: edges that connect the rows of a signature, contracted a million at a time."""
-    last, hub, held, size = None, 0, [], 0
-
-    def out() -> pa.RecordBatch:
-        edges = contracted(np.concatenate(held))
-        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["src", "dst"])
-
+    """From rows in order of signature: an edge from each row to the first with its signature."""
+    last, hub = None, 0
     for batch in batches:
         signature, row = np.asarray(batch["signature"]), np.asarray(batch["row"])
         if not len(row):
@@ -148,14 +127,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[0] = last is None or signature[0] != last
         place = np.maximum.accumulate(np.where(new, np.arange(len(row)), -1))
         first = np.where(place >= 0, row[np.maximum(place, 0)], hub)
-        held.append(np.stack([row, first], 1)[~new & (row != first)])
-        size += len(held[-1])
+        edges = np.unique(np.stack([row, first], 1)[~new & (row != first)], axis=0)
         last, hub = signature[-1], int(first[-1])
-        if size > 1_000_000:
-            yield out()
-            held, size = [], 0
-    if held:
-        yield out()
+        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["src", "dst"])
 
 
 class Tree:
@@ -261,8 +235,9 @@ def similar_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id
        class from here on.
     2. Rows in order of signature give edges from each row to the first that shares it; connected components of these
        are clusters, and only classes of one cluster can link. No pair is enumerated.
-    3. Clusters' texts are read again, dealt to units of about UNIT shingles. A cluster beyond that is dealt in parts,
-       and each pair of parts is a unit, so that a cluster of any size is joined exactly in bounded tasks. In a unit,
+    3. Clusters' texts are read again, dealt to units of about UNIT shingles. A cluster beyond PART is dealt in parts,
+       and each pair of parts is a unit, so that a cluster of any size is joined exactly in bounded tasks; its texts
+       are sent as often as it has parts. In a unit,
        counts by group of tokens are points of an R-tree. The sum of the smaller counts bounds the overlap of two
        points, and of two nodes; what is left is verified, except where links found so far already connect it.
     4. Connected components of the links.
@@ -286,7 +261,7 @@ def similar_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id
     member = scratch.put(shared.join(classes.select("class"), "class").join(head, "class"), "members")
 
     size = member.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("shingles")).where("k > 1")
-    size = scratch.put(size.select("cluster", F.ceil(F.col("shingles") / UNIT).cast("long").alias("parts"), "shingles"), "clusters")
+    size = scratch.put(size.select("cluster", F.ceil(F.col("shingles") / PART).cast("long").alias("parts"), "shingles"), "clusters")
     units = max(1, -(-(size.where("parts = 1").agg(F.sum("shingles")).first()[0] or 0) // UNIT) * 4)
     member = member.join(size, "cluster").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")))
     # (0, unit) for clusters that share a unit; (cluster, pair of parts) for the others.

@@ -88,6 +88,7 @@ def test_jaccard_near_copies(spark, monkeypatch):
         rows.append((k, " ".join(text)))
         k += 1
     monkeypatch.setattr(jaccard, "UNIT", 1500)
+    monkeypatch.setattr(jaccard, "PART", 1500)
     got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=85).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 4, 85))
 
@@ -130,25 +131,6 @@ def test_components(spark):
     assert got == {n: find(n) for n in root}
 
 
-def test_contracted():
-    rnd = np.random.default_rng(7)
-    for n in (1, 5, 300):
-        edges = rnd.integers(0, 200, (n, 2)) * 1000003
-        root = {}
-
-        def find(a, root=root):
-            while root.setdefault(a, a) != a:
-                a = root[a]
-            return a
-
-        for a, b in edges.tolist():
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
-        got = dict(jaccard.contracted(edges).tolist())
-        assert all(got.get(a, a) == find(a) for a in root)
-    assert jaccard.contracted(np.zeros((0, 2), np.int64)).tolist() == []
-
-
 def water(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
     names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
     w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
