@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,12 +52,23 @@ class Scheme:
             self.starts.append(max(self.starts[-1] + 1, int(self.starts[-1] * BAND)))
         return int(np.searchsorted(self.starts, n, "right")) - 1
 
+    @functools.lru_cache(maxsize=None)  # noqa: B019  a scheme lives as long as its task
     def groups(self, band: int) -> tuple[int, int]:
         """(groups, empty groups that a set may leave out): similar sets of the band differ in fewer groups than the difference."""
         self.band(self.starts[min(band + 1, len(self.starts) - 1)])
         differ = 2 * (self.starts[band + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-        spare = 2 + differ // 25
-        return (differ + 1 + spare, spare) if differ else (0, 0)
+        if not differ:
+            return 0, 0
+        # So many spare groups that even the smallest set of the band seldom has as many empty ones: sets that do are linked
+        # to each other by what they lack, and many such links would join unlike documents into one cluster.
+        least, spare = self.percent * self.starts[band] / 100, 2
+        while True:
+            m = differ + 1 + spare
+            empty, load = m * (1 - 1 / m) ** least, least / m
+            spread = (m * max(0.0, math.exp(-load) - (1 + load) * math.exp(-2 * load))) ** 0.5
+            if spare >= empty + 4 * spread:
+                return m, spare
+            spare += max(1, spare // 8)
 
     def signatures(self, shingles: np.ndarray) -> np.ndarray:
         """A number for each group and each band in which the set may be the smaller or the larger of a similar pair.
