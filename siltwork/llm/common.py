@@ -45,19 +45,26 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.dir = spark, f"{scratch_root(spark)}/siltwork/{name}-{uuid.uuid4().hex}"
+        self.labels: set[str] = set()
         atexit.register(_delete, spark, self.dir)
 
     def path(self, label: str) -> str:
         return f"{self.dir}/{label}"
 
     def put(self, df: DataFrame, label: str) -> DataFrame:
+        self.labels.add(label)
         df.write.option("compression", "zstd").mode("overwrite").parquet(self.path(label))
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
     def drop(self, *labels: str) -> None:
         for label in labels:
+            self.labels.discard(label)
             _delete(self.spark, self.path(label))
 
+    def keep(self, *labels: str) -> None:
+        """Drop all tables but these."""
+        self.drop(*(self.labels - {*labels}))
+
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
-SLICE = 1 << 21
-_M = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 3
+#: Bytes of text that are cut into words at a time; words that keep their hash, and the length up to which they do.
+SLICE, KEPT, SHORT = 1 << 21, 1 << 19, 64
+KEY = b"siltwork words"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,66 +23,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """A random number for each byte, A-Z as a-z; and what ends a word."""
-    of = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    of[ord("A") : ord("Z") + 1] = of[ord("a") : ord("z") + 1]
-    space = np.zeros(256, bool)
-    space[[0x20, *range(0x09, 0x0E)]] = True
-    return of, space
+class Hashes(dict):
+    """64 bits of a keyed BLAKE2b of each word."""
+
+    def __missing__(self, word: bytes) -> int:
+        got = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=KEY).digest(), "little")
+        if len(word) <= SHORT:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = got
+        return got
 
 
 @functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    out = []
-    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-        a = np.full(n, b, np.uint64)
-        a[0] = 1
-        out.append(np.multiply.accumulate(a))
-    return out[0], out[1]
-
-
-def _hash(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words in buf, which ends with white space."""
-    of, space = _tables()
-    n = 1 << max(SLICE.bit_length(), len(buf).bit_length())
-    power, inverse = _powers(n) if n <= 4 * SLICE else _powers.__wrapped__(n)
-    gap = space[buf]
-    edge = np.flatnonzero(np.diff(gap, prepend=True))
-    starts, ends = edge[::2], edge[1::2]
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(of[buf] * power[: len(buf)], out=total[1:])
-    return starts, mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def _hashes() -> Hashes:
+    return Hashes()
+
+
+def slices(raw: bytes) -> Iterator[bytes]:
+    """raw in slices of about SLICE bytes that end at white space; a longer word is a slice of its own length."""
+    at = 0
+    while len(raw) - at > SLICE:
+        end = max(raw.rfind(c, at, at + SLICE) for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r"))
+        if end <= at:
+            later = [p for c in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r") if (p := raw.find(c, at + 1)) > 0]
+            end = min(later, default=len(raw))
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, number of words of each text); words are runs without ASCII white space, A-Z lower-cased.
 
-    Works on slices of about SLICE bytes that end at white space, so a text of any length takes bounded memory, as long
-    as its words do. Two different words share a hash with a chance of about 2**-64.
+    A null text has no words. Two different words share a hash with a chance of 2**-64, whatever they are.
     """
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    limits = np.cumsum([len(r) + 1 for r in raw])
-    buf = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
-    space = _tables()[1]
-    at, starts, hashes = 0, [], []
-    while at < len(buf):
-        end = min(at + SLICE, len(buf))
-        if end < len(buf):
-            back = np.flatnonzero(space[buf[at:end]])
-            if len(back):
-                end = at + int(back[-1]) + 1
-            else:
-                while not space[buf[end - 1]]:
-                    end += 1
-        s, h = _hash(buf[at:end])
-        starts.append(s + at)
-        hashes.append(h)
-        at = end
-    every = np.concatenate([*starts, np.zeros(0, np.int64)])
-    return np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.bincount(np.searchsorted(limits, every, "right"), minlength=len(texts)).astype(np.int64)[: len(texts)]
+    get = _hashes().__getitem__
+    flat: list[bytes] = []
+    done, sizes = [], np.zeros(len(texts), np.int64)
+    for k, t in enumerate(texts):
+        for piece in slices((t or "").encode("utf-8", "surrogatepass").lower()):
+            words = piece.split()  # at ASCII white space, as lower() above is ASCII's
+            sizes[k] += len(words)
+            flat += words
+            if len(flat) > 1 << 18:
+                done.append(np.fromiter(map(get, flat), np.uint64, len(flat)))
+                flat = []
+    done.append(np.fromiter(map(get, flat), np.uint64, len(flat)))
+    return np.concatenate(done), sizes
 
 
 def text_runs(texts, most: int) -> Iterator[tuple[int, list[str | None]]]:

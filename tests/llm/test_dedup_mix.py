@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from llm_rows import ROWS, shingles, words
+from llm_rows import ROWS, long_text, shingles
 
 from siltwork.llm import exact_dedup, jaccard, mixing
 from siltwork.llm.common import Scratch, connected_components
@@ -64,7 +64,8 @@ def test_jaccard_odd(odd, none, width, percent):
     assert jaccard.similar_documents(none, width=width, percent=percent).count() == 0
 
 
-def test_jaccard_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [300, 1500, 1 << 20])
+def test_jaccard_near_copies(spark, monkeypatch, limit):
     """Chains of edits, a shared passage, and a cluster that is dealt in several parts."""
     rnd = random.Random(5)
     vocabulary = [f"w{k}" for k in range(400)]
@@ -87,30 +88,50 @@ def test_jaccard_near_copies(spark, monkeypatch):
             text[rnd.randrange(len(text))] = rnd.choice(vocabulary)
         rows.append((k, " ".join(text)))
         k += 1
-    monkeypatch.setattr(jaccard, "UNIT", 1500)
-    monkeypatch.setattr(jaccard, "PART", 1500)
+    monkeypatch.setattr(jaccard, "LEAST", limit)
+    monkeypatch.setattr(jaccard, "MOST", limit)
+    monkeypatch.setattr(jaccard, "KEYS", limit)
     got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=85).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 4, 85))
 
 
-def test_signatures_lose_no_pair():
+def test_directory_loses_no_pair():
+    """Whatever order rarity gives the coordinates, the first ones of two similar sets hold a common one."""
     rnd = np.random.default_rng(1)
-    for percent in (80, 85, 95):
-        scheme = jaccard.Scheme(percent)
-        for n in (5, 7, 12, 40, 300, 3000):
-            for _ in range(20):
+    for percent in (50, 80, 85, 95, 100):
+        directory = jaccard.Directory(percent)
+        for n in (1, 2, 3, 5, 7, 12, 40, 300, 3000):
+            for _ in range(30):
                 a = np.unique(rnd.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
                 drop = rnd.integers(0, max(1, n * (100 - percent) // 100) + 1)
                 b = np.unique(np.concatenate([a[drop:], rnd.integers(0, 2**63, rnd.integers(0, 1 + n // 12)).astype(np.uint64)]))
                 same = len(np.intersect1d(a, b))
-                if 100 * same >= percent * (len(a) + len(b) - same) and not np.array_equal(a, b):
-                    assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b))), (percent, n, len(b), same)
-
-
-def test_unlike_documents(odd):
+                if 100 * same < percent * (len(a) + len(b) - same):
+                    continue
+                salt = np.uint64(rnd.integers(0, 2**63))
+                cells = []
+                for s in (a, b):
+                    own = set()
+                    for keys, code in directory.lookups(s):
+                        other = np.concatenate([k for k, c in directory.lookups(b if s is a else a) if c % 2 == code % 2] or [keys[:0]])
+                        shared = np.intersect1d(keys, other)
+                        ranked = shared[np.argsort(jaccard.mix(shared ^ salt))]
+                        own |= {(code % 2, k) for k in ranked[: max(0, (code >> 1) + len(shared))].tolist()}
+                    cells.append(own)
+                assert cells[0] & cells[1], (percent, n, len(b), same)
+
+
+def test_unlike_documents(spark, odd, none):
     got = jaccard.unlike_documents(odd)
-    assert got.columns == odd.columns
-    assert {6, 8, 1, 10} <= {r.doc_id for r in got.collect()} and not {7, 9, 11, 15} & {r.doc_id for r in got.collect()}
+    assert got.columns == odd.columns and jaccard.unlike_documents(none).count() == 0
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(kept) == len(set(kept)) and len([k for k in kept if k[0] == 2]) == 0 and len([k for k in kept if k[0] == 1]) == 1
+    classes = brute(ROWS, 5, 80)
+    assert {6, 8, 1, 10, 14} <= {k[0] for k in kept} and not {7, 9, 11, 15} & {k[0] for k in kept} and len(classes) == len(ROWS)
+    text = long_text(9, 300)
+    rows = [(1, text), (None, text + " more"), (None, "not like any other one at all"), (None, "not like any other one at all"), (None, text + " again"), (5, None), (5, None), (7, "same"), (7, "other")]
+    got = jaccard.unlike_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, text), (None, "not like any other one at all"), (5, None), (5, None), (7, "same"), (7, "other")]))
 
 
 def test_components(spark):
@@ -174,4 +195,4 @@ def test_mix(spark, odd, none):
 def test_budgets_nest(spark):
     df = spark.createDataFrame([(k, "a b c " * (k % 5 + 1), "s") for k in range(200)], "doc_id long, text string, source string")
     small, large = ({r.doc_id for r in mixing.mix(df, budget=b).collect() if r.taken} for b in (0.3, 0.6))
-    assert small < large and len(words("a b")) == 2
+    assert small < large
