@@ -44,4 +44,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.put(docs, f"stage-{k}")
+            scratch.keep(f"stage-{k}")
     return docs
