@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from siltwork.llm.common import Scratch
 
 BLOCK_BYTES = 4096
+#: Keys of different blocks that are broadcast, at most; more are joined.
+COLLISIONS = 1 << 20
 
 
 def _named(keys: DataFrame) -> DataFrame:
@@ -15,26 +17,29 @@ def _named(keys: DataFrame) -> DataFrame:
     return keys.distinct().sortWithinPartitions(*keys.columns).withColumn("name", F.monotonically_increasing_id())
 
 
-def _block_names(blocks: DataFrame, key: Column, scratch: Scratch) -> tuple[DataFrame, bool]:
-    """(key, block, name): each block's name, found by its key. block is null where no other block shares the key."""
+def _block_names(blocks: DataFrame, key: Column, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(key, block, name): each block's name, found by its key; and the keys that several blocks share, if any.
+
+    block is null where no other block shares the key.
+    """
     named = scratch.put(_named(blocks.select("block")).select(key.alias("key"), "name"), "names")
     shared = named.groupBy("key").count().where("count > 1").select("key")
     if shared.isEmpty():
-        return named.withColumn("block", F.lit(None).cast("binary")), False
+        return named.withColumn("block", F.lit(None).cast("binary")), None
     shared = scratch.put(shared, "shared")
     odd = _named(blocks.select(key.alias("key"), "block").join(shared, "key", "left_semi").select("block"))
     odd = odd.select(key.alias("key"), (-1 - F.col("name")).alias("name"), "block")
     rest = named.join(shared, "key", "left_anti").withColumn("block", F.lit(None).cast("binary"))
-    return scratch.put(rest.unionByName(odd), "names-with-blocks"), True
+    return scratch.put(rest.unionByName(odd), "names-with-blocks"), shared
 
 
-def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES, key_bits: int = 64) -> DataFrame:
+def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES, key_bits: int = 128) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, identity.
 
     Texts are cut into blocks of block_bytes bytes. The distinct blocks are sorted and numbered; then adjacent
     names are paired, the distinct pairs sorted and numbered, and so on until a document has one name. The
     identity (level, name) is equal for two rows exactly if their texts are: names come from sorted contents,
-    and a block's hash (key_bits of it) only serves to send its name back. Blocks whose keys collide are told
+    and a block's hash (MD5, or key_bits of a shorter one) only serves to send its name back. Blocks whose keys collide are told
     apart by content.
 
     The row with the largest doc_id of a group stays; a null doc_id is smaller than any other, and of repeated
@@ -48,18 +53,19 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
     rows = rows.withColumn("n", F.greatest(F.lit(1), F.ceil(F.octet_length("bytes") / block_bytes).cast("int")))
     cut = F.expr(f"transform(sequence(0, n - 1), i -> substring(bytes, i * {block_bytes} + 1, {block_bytes}))")
-    key = F.xxhash64("block") if key_bits == 64 else F.xxhash64("block").bitwiseAND(F.lit((1 << key_bits) - 1))
+    key = F.unhex(F.md5("block")) if key_bits == 128 else F.xxhash64("block").bitwiseAND(F.lit((1 << min(key_bits, 63)) - 1))
 
-    names, collided = _block_names(rows.select(F.explode(cut).alias("block")), key, scratch)
+    names, shared = _block_names(rows.select(F.explode(cut).alias("block")), key, scratch)
     at = rows.select(F.monotonically_increasing_id().alias("row"), "doc", F.sha2("bytes", 256).alias("sha"), "n", cut.alias("blocks"))
     at = at.select("row", "doc", "sha", "n", F.posexplode("blocks").alias("at", "block")).withColumn("key", key)
     head = [F.when(F.col("at") == 0, F.col(c)).alias(c) for c in ("doc", "sha")]
-    at = at.select("row", "n", "at", *head, "key", *(["block"] if collided else []))
-    if collided:
-        names = names.withColumnRenamed("block", "whole")
-        at = at.join(names, "key").where(F.col("whole").isNull() | (F.col("whole") == F.col("block")))
-    else:
-        at = at.join(names.select("key", "name"), "key")
+    if shared is None:
+        at = at.select("row", "n", "at", *head, "key").join(names.select("key", "name"), "key")
+    else:  # only the bytes of blocks that share their key go along; keys that collide are few at any size of the corpus
+        few = shared.withColumnRenamed("key", "odd")
+        few = F.broadcast(few) if shared.count() <= COLLISIONS else few
+        at = at.join(few, F.col("key") == F.col("odd"), "left").select("row", "n", "at", *head, "key", F.when(F.col("odd").isNotNull(), F.col("block")).alias("block"))
+        at = at.join(names.withColumnRenamed("block", "whole"), "key").where(F.col("whole").isNull() | (F.col("whole") == F.col("block")))
     at = scratch.put(at.select("row", "n", "at", "doc", "sha", "name"), "level-0")
 
     whole = [at.where("n = 1").select("row", "doc", "sha", F.lit(0).alias("level"), "name")]

@@ -17,6 +17,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 #: A fitting sample of so many documents for each language at most, and a table of so many numbers at most.
 SAMPLE, TABLE = 4000, 1_000_000
+#: So many languages at most are learned, those with most documents.
+LANGUAGES = 1000
 SMOOTH = 0.5
 
 
@@ -45,7 +47,7 @@ def _counts(longest: int):
             for lang, words in by.items():
                 for w, n in words.items():
                     found[lang, w, True] += n
-                    for g in grams_of(w[:64], longest):
+                    for g in grams_of(w, longest):
                         found[lang, g, False] += n
             if len(found) > 500_000:
                 yield rows()
@@ -106,22 +108,23 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, table: int = TABLE, longest: int = LONGEST) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, table: int = TABLE, longest: int = LONGEST, languages: int = LANGUAGES) -> Model:
     """A Model learned from the labelled rows of docs.
 
-    It is fitted on at most about `sample` documents a language, chosen by the hash of their key and text. It keeps
-    the most frequent words (seen twice at least) and n-grams: for each kind at most table / languages. So neither
+    It is fitted on at most about `sample` documents a language, chosen by the hash of their key and text, and on at most
+    `languages` languages, those with most documents (of equal ones the first in order). It keeps the most frequent words (seen twice at least) and n-grams: for each kind at most table / languages. So neither
     what is collected nor what is broadcast grows with the corpus. Null languages, null texts and texts without
     letters teach nothing; without any labelled row the model knows no language.
     """
     scratch = Scratch(docs.sparkSession, "langid")
     known = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    tally = known.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.col("docs").desc(), "lang").limit(languages)
+    sizes = {r["lang"]: r["docs"] for r in tally.collect()}
     if not sizes:
         return Model([], {}, np.zeros((0, 0), np.float32), {}, np.zeros((0, 0), np.float32), longest)
     langs = sorted(sizes)
-    share = F.create_map(*[x for name in langs for x in (F.lit(name), F.lit(hash_limit(sample / sizes[name])))])
-    chosen = known.where(F.shiftrightunsigned(F.xxhash64("key", "text"), 1) <= share[F.col("lang")])
+    shares = docs.sparkSession.createDataFrame([(name, hash_limit(sample / sizes[name])) for name in langs], "lang string, share long")
+    chosen = known.join(F.broadcast(shares), "lang").where(F.shiftrightunsigned(F.xxhash64("key", "text"), 1) <= F.col("share"))
     counts = chosen.select("lang", "text").mapInArrow(_counts(longest), "lang string, token string, word boolean, n bigint")
     counts = counts.groupBy("word", "token", "lang").agg(F.sum("n").alias("n"))
     counts = counts.groupBy("word", "token").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("total"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import pickle
 import struct
 import tempfile
 from collections.abc import Iterator
@@ -17,13 +18,16 @@ from pyspark.sql import functions as F
 from siltwork.llm.common import Scratch
 from siltwork.llm.words import mix, text_runs, word_hashes
 
-#: Tokens of a block of texts, of a vocabulary shard and of a bigram shard.
-BLOCK, WORDS, PAIRS = 1 << 21, 1 << 19, 1 << 21
+#: Tokens of a block of texts; words of a vocabulary range and pairs of a bigram range while there are fewer ranges than RANGES.
+#: With that many, ranges grow instead, so that the rows exchanged, one for each block and range, grow as the corpus does.
+BLOCK, WORDS, PAIRS, RANGES = 1 << 21, 1 << 19, 1 << 21, 1024
+#: Keys that a task holds at a time; a range beyond that is sorted in runs on disk.
+RUN = 1 << 22
 #: Weight of the unigram distribution, in occurrences of the context.
 PRIOR = 300.0
 #: The end's hash; quantised log10 = code / SCALE - RANGE, code 0 stands for none.
 END, SCALE, RANGE = np.uint64(0x51D7_E0F7_E2D0_0001), 4000, 16
-#: Parts among which one context's successors are dealt.
+#: Parts among which one context's successors are dealt, as a frequent word may precede any other.
 SPREAD = 16
 
 
@@ -126,23 +130,46 @@ def mapped(arrays: list[np.ndarray]) -> list[np.ndarray]:
         os.unlink(path)
 
 
+def quantised(log10: np.ndarray) -> np.ndarray:
+    """Codes from 1 of log10 probabilities from -RANGE to 0."""
+    return np.clip(np.rint((log10 + RANGE) * SCALE) + 1, 1, 65535).astype(np.uint16)
+
+
+def log10_of(codes: np.ndarray) -> np.ndarray:
+    return (codes - 1.0) / SCALE - RANGE
+
+
 class Trie:
-    """Two levels: contexts with pointers to their successors, and successors with quantised probabilities.
+    """Two levels: contexts with pointers to their successors, and successors with quantised smoothed probabilities.
 
     A successor is stored relative to its context, as context number * span + successor, so that the level is
     monotone; it is found by a successor search between the context's pointers.
     """
 
-    def __init__(self, contexts: np.ndarray, successors: np.ndarray, codes: np.ndarray) -> None:
-        """Sorted distinct (context, successor) pairs, and each pair's code."""
-        own, first = np.unique(contexts, return_index=True)
-        self.span = int(successors.max(initial=0)) + 1
-        place = np.repeat(np.arange(len(own), dtype=np.uint64), np.diff([*first, len(contexts)]))
-        parts = [EliasFano.build(own), EliasFano.build(np.append(first, len(contexts))), EliasFano.build(place * np.uint64(self.span) + successors)]
-        arrays = mapped([a for p in parts for a in p.arrays()] + [codes.astype(np.uint16)])
+    def __init__(self, span: int, arrays: list[np.ndarray]) -> None:
+        arrays = mapped(arrays)
+        self.span, self.arrays = span, arrays
         self.contexts, self.pointers, self.successors = (EliasFano.of(arrays[i : i + 4]) for i in (0, 4, 8))
         self.codes = arrays[12]
 
+    @classmethod
+    def build(cls, contexts: np.ndarray, successors: np.ndarray, codes: np.ndarray) -> Trie:
+        """Of sorted distinct (context, successor) pairs, and each pair's code."""
+        own, first = np.unique(contexts, return_index=True)
+        span = int(successors.max(initial=0)) + 1
+        place = np.repeat(np.arange(len(own), dtype=np.uint64), np.diff([*first, len(contexts)]))
+        parts = [EliasFano.build(own), EliasFano.build(np.append(first, len(contexts))), EliasFano.build(place * np.uint64(span) + successors)]
+        return cls(span, [*(a for p in parts for a in p.arrays()), codes.astype(np.uint16)])
+
+    def dump(self) -> bytes:
+        """The levels as one file: what load() maps again."""
+        return pickle.dumps((self.span, [(a.dtype.str, a.tobytes()) for a in self.arrays]), 5)
+
+    @classmethod
+    def load(cls, content: bytes) -> Trie:
+        span, arrays = pickle.loads(content)
+        return cls(span, [np.frombuffer(raw, kind) for kind, raw in arrays])
+
     def find(self, contexts: np.ndarray, successors: np.ndarray) -> np.ndarray:
         """The code of each pair, 0 if it is not in the trie."""
         out = np.zeros(len(contexts), np.uint16)
@@ -160,6 +187,68 @@ class Trie:
         return out
 
 
+class Spool:
+    """Keys of a range and what came along with them, read again in order of the keys, about RUN at a time.
+
+    Beyond RUN keys there are sorted runs in a file of the task's own that no one else sees and that is gone with it.
+    """
+
+    def __init__(self, kinds: dict[str, str], answers: dict[str, str], limit: int) -> None:
+        self.kinds, self.limit = {"key": "<u8", **kinds}, limit
+        self.held: list[dict[str, np.ndarray]] = []
+        self.size, self.total = 0, 0
+        self.runs: list[dict[str, np.ndarray]] = []
+        self.answers, self.results = answers, {}
+
+    def add(self, **columns: np.ndarray) -> None:
+        n = len(columns["key"])
+        self.held.append({**columns, "origin": np.arange(self.total, self.total + n)})
+        self.size += n
+        self.total += n
+        if self.size >= self.limit:
+            self.runs.append(dict(zip([*self.kinds, "origin"], mapped(self._sorted()), strict=True)))
+
+    def _sorted(self) -> list[np.ndarray]:
+        whole = {c: np.concatenate([h[c] for h in self.held]).astype(kind) for c, kind in [*self.kinds.items(), ("origin", "<i8")]}
+        order = np.argsort(whole["key"], kind="stable")
+        self.held, self.size = [], 0
+        return [whole[c][order] for c in [*self.kinds, "origin"]]
+
+    def passes(self) -> Iterator[dict[str, np.ndarray]]:
+        """All entries, in order of their keys; a key's entries are in one pass."""
+        if self.held:
+            last = dict(zip([*self.kinds, "origin"], self._sorted(), strict=True))
+            self.runs.append(last)
+        make = (lambda k: np.zeros(self.total, k)) if len(self.runs) < 2 else (lambda k: blank(self.total, k))
+        self.results = {c: make(k) for c, k in self.answers.items()}
+        if len(self.runs) < 2:
+            yield from self.runs
+            return
+        some = np.sort(np.concatenate([r["key"][:: max(1, len(r["key"]) // 4096)] for r in self.runs]))
+        cuts = np.unique(some[np.linspace(0, len(some) - 1, -(-self.total // self.limit) + 1).astype(np.int64)[1:-1]])
+        ends = [[0, *np.searchsorted(r["key"], cuts, "left").tolist(), len(r["key"])] for r in self.runs]
+        for k in range(len(cuts) + 1):
+            part = {c: np.concatenate([r[c][e[k] : e[k + 1]] for r, e in zip(self.runs, ends, strict=True)]) for c in [*self.kinds, "origin"]}
+            order = np.argsort(part["key"], kind="stable")
+            if len(order):
+                yield {c: v[order] for c, v in part.items()}
+
+    def answer(self, part: dict[str, np.ndarray], **columns: np.ndarray) -> None:
+        for c, v in columns.items():
+            self.results[c][part["origin"]] = v
+
+
+def blank(n: int, kind: str) -> np.ndarray:
+    """Zeros in a file of the task's own."""
+    f, path = tempfile.mkstemp(prefix="answers-")
+    try:
+        os.truncate(f, max(1, n) * np.dtype(kind).itemsize)
+        return np.memmap(path, kind, "r+", 0, (n,))
+    finally:
+        os.close(f)
+        os.unlink(path)
+
+
 def _blocks(names: list[str]):
     """Texts as blocks: the kept columns, marks and numbers of tokens by text, sorted word hashes, tokens as word ranks."""
 
@@ -234,33 +323,86 @@ def _words_out(shards: int):
     return run
 
 
+#: kind 0: ids and counts of a block's words; 1: codes of its pairs; 2: a level kept as a file, a under b, block its number.
 _ANSWER = "kind int, shard bigint, block bigint, a binary, b binary, n bigint, v bigint"
 
 
-def _answers(kind: int, shard: int, blocks: list[int], a: list[bytes], b: list[bytes], n: int = 0, v: int = 0) -> pa.Table:
-    m = len(blocks)
-    columns = [pa.array([kind] * m, pa.int32()), pa.array([shard] * m), pa.array(blocks), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([n] + [0] * (m - 1)), pa.array([v] + [0] * (m - 1))]
-    return pa.Table.from_arrays(columns, ["kind", "shard", "block", "a", "b", "n", "v"])
+def _answer(kind: int, shard: int, block: int, a: bytes, b: bytes = b"", n: int = 0, v: int = 0) -> pa.RecordBatch:
+    columns = [pa.array([x], t) for x, t in zip((kind, shard, block, a, b, n, v), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "shard", "block", "a", "b", "n", "v"])
 
 
-def _vocabulary(shards: int):
-    """A shard's words get their counts in training, and ids from 1 in order of their hashes, dealt over shards."""
+def _by_range(take, finish):
+    """Rows in order of range: take(row, state) adds each to the range's state, finish(shard, state) gives its answers."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        shard, rows = key[0].as_py(), table.to_pylist()
-        keys = [expand(r["keys"], "<u8") for r in rows]
-        words, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, np.concatenate([expand(r["counts"], "<u4") for r in rows]), len(words)).astype(np.int64)
-        ids = np.where(total > 0, (np.cumsum(total > 0) - 1) * shards + shard + 1, 0)
-        if ids.max(initial=0) >= 2**32:
-            raise ValueError("more words than 32-bit ids")
-        ends = np.cumsum([0, *map(len, keys)])
-        parts = [back[i:j] for i, j in zip(ends, ends[1:], strict=False)]
-        return _answers(0, shard, [r["block"] for r in rows], [squeeze(ids[p].astype(np.uint32)) for p in parts], [squeeze(total[p].astype(np.uint64)) for p in parts], int(total.sum()), int((total > 0).sum()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, state = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch[c][k].as_py() for c in batch.schema.names}
+                if row["shard"] != shard:
+                    if state is not None:
+                        yield from finish(shard, state)
+                    shard, state = row["shard"], None
+                state = take(row, state)
+        if state is not None:
+            yield from finish(shard, state)
 
     return run
 
 
+def _vocabulary(shards: int, limit: int, keep: bool):
+    """A range's words get their counts in training, and ids from 1 in order of their hashes, dealt over ranges.
+
+    The words with counts are an Elias-Fano level in which each block's words are looked up by successor search. A kept level
+    (a row with block -1) takes the place of counting.
+    """
+
+    def take(row: dict, state):
+        spool, blocks, stored = state or (Spool({"count": "<i8"}, {"id": "<u4", "total": "<i8"}, limit), [], [])
+        if row["block"] < 0:
+            stored.append((expand(row["keys"], "<u8"), expand(row["counts"], "<u8").astype(np.int64)))
+        else:
+            keys = expand(row["keys"], "<u8")
+            spool.add(key=keys, count=expand(row["counts"], "<u4"))
+            blocks.append((row["block"], len(keys)))
+        return spool, blocks, stored
+
+    def finish(shard: int, state) -> Iterator[pa.RecordBatch]:
+        spool, blocks, stored = state
+        n, v = 0, 0
+        levels = []
+        for part in spool.passes():
+            if stored:
+                words, total = (np.concatenate([x[k] for x in stored]) for k in (0, 1))
+                first = 0
+            else:
+                words, first = np.unique(part["key"], return_index=True)
+                total = np.add.reduceat(part["count"], first)
+                words, total = words[total > 0], total[total > 0]
+                first = v
+            level = EliasFano.build(words)
+            at, found = level.successor(part["key"])
+            place = np.where(found, at, 0)
+            ids = np.where(found, (first + place) * shards + shard + 1, 0)
+            if ids.max(initial=0) >= 2**32:
+                raise ValueError("more words than 32-bit ids")
+            spool.answer(part, id=ids, total=np.where(found, np.append(total, 0)[place], 0))
+            if not stored:
+                n, v = n + int(total.sum()), v + len(words)
+                levels.append((words, total))
+        if keep and levels:
+            words, total = (np.concatenate([x[k] for x in levels]) for k in (0, 1))
+            yield _answer(2, shard, -1, squeeze(words), squeeze(total.astype(np.uint64)))
+        begin = 0
+        for k, (block, size) in enumerate(blocks):
+            ids, total = (spool.results[c][begin : begin + size] for c in ("id", "total"))
+            begin += size
+            yield _answer(0, shard, block, squeeze(np.ascontiguousarray(ids)), squeeze(np.ascontiguousarray(total).astype(np.uint64)), n * (k == 0), v * (k == 0))
+
+    return _by_range(take, finish)
+
+
 def _known(block: _Block, rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """ids and training counts of the block's words."""
     rows = sorted((r for r in rows if r["kind"] == 0), key=lambda r: r["shard"])
@@ -271,7 +413,7 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return (mix((keys >> np.uint64(32)) * np.uint64(SPREAD) + keys % np.uint64(SPREAD)) % np.uint64(shards)).astype(np.int64)
 
 
-def _pairs_out(shards: int):
+def _pairs_out(shards: int, n: int, v: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         for row in left.to_pylist():
@@ -279,41 +421,63 @@ def _pairs_out(shards: int):
             ids, total = _known(b, right.to_pylist())
             keys, counts, _ = b.pairs(ids)
             order = np.argsort(ids, kind="stable")
-            contexts = (keys >> np.uint64(32)).astype(np.int64)
-            seen = np.where(contexts > 0, total[order[np.minimum(np.searchsorted(ids[order], contexts), len(ids) - 1)]], total[np.searchsorted(b.words, END)])
+            ordered = ids[order]
+            of = lambda x: order[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)]  # noqa: E731, B023
+            contexts, successors = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            seen = np.where(contexts > 0, total[of(contexts)], total[np.searchsorted(b.words, END)])
+            single = quantised(np.log10((total + 0.5) / (n + 0.5 * (v + 1))))[of(successors)]
             part = _shard_of(keys, shards)
             by = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[by], np.arange(shards + 1))
-            for k in range(shards):
-                if len(own := by[cut[k] : cut[k + 1]]):
-                    c, first = np.unique(contexts[own], return_index=True)
-                    out.append((k, row["block"], squeeze(c.astype(np.uint32)), squeeze(np.diff([*first, len(own)]).astype(np.uint32)), squeeze(seen[own[first]].astype(np.uint64)), squeeze((keys[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), squeeze(counts[own])))
-        names = ["shard", "block", "contexts", "sizes", "seen", "successors", "counts"]
-        return pa.Table.from_arrays([pa.array([o[i] for o in out], pa.int64() if i < 2 else pa.binary()) for i in range(7)], names)
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                own = by[cut[k] : cut[k + 1]]
+                c, first = np.unique(contexts[own], return_index=True)
+                out.append((k, row["block"], squeeze(c.astype(np.uint32)), squeeze(np.diff([*first, len(own)]).astype(np.uint32)), squeeze(seen[own[first]].astype(np.uint64)), squeeze(successors[own].astype(np.uint32)), squeeze(counts[own]), squeeze(single[own])))
+        return pa.Table.from_arrays([pa.array([o[i] for o in out], pa.int64() if i < 2 else pa.binary()) for i in range(8)], _ASKED)
 
     return run
 
 
-def _tries(prior: float):
-    """A shard's bigrams become a trie, which answers what the blocks ask."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        shard, rows = key[0].as_py(), table.to_pylist()
-        asked, seen, counts = [], [], []
-        for r in rows:
-            size = expand(r["sizes"], "<u4").astype(np.int64)
-            asked.append(np.repeat(expand(r["contexts"], "<u4").astype(np.uint64), size) << np.uint64(32) | expand(r["successors"], "<u4").astype(np.uint64))
-            seen.append(np.repeat(expand(r["seen"], "<u8"), size))
-            counts.append(expand(r["counts"], "<u4"))
-        keys, first, back = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
-        total = np.bincount(back, np.concatenate(counts), len(keys))
-        share = total / (np.concatenate(seen)[first] + prior)
-        held = total > 0
-        keys, share = keys[held], share[held]
-        trie = Trie(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), np.rint((np.log10(share) + RANGE) * SCALE) + 1)
-        return _answers(1, shard, [r["block"] for r in rows], [squeeze(trie.find(a >> np.uint64(32), a & np.uint64(0xFFFFFFFF))) for a in asked], [b""] * len(rows))
-
-    return run
+_ASKED = ["shard", "block", "contexts", "sizes", "seen", "successors", "counts", "single"]
+
+
+def _tries(prior: float, limit: int, keep: bool):
+    """A range's bigrams become tries, which answer what the blocks ask. Kept tries (rows with block -1) answer instead."""
+
+    def take(row: dict, state):
+        spool, blocks, stored = state or (Spool({"seen": "<i8", "count": "<u4", "single": "<u2"}, {"code": "<u2"}, limit), [], [])
+        if row["block"] < 0:
+            stored.append(Trie.load(row["contexts"]))
+        else:
+            size = expand(row["sizes"], "<u4").astype(np.int64)
+            keys = np.repeat(expand(row["contexts"], "<u4").astype(np.uint64), size) << np.uint64(32) | expand(row["successors"], "<u4").astype(np.uint64)
+            spool.add(key=keys, seen=np.repeat(expand(row["seen"], "<u8"), size), count=expand(row["counts"], "<u4"), single=expand(row["single"], "<u2"))
+            blocks.append((row["block"], len(keys)))
+        return spool, blocks, stored
+
+    def finish(shard: int, state) -> Iterator[pa.RecordBatch]:
+        spool, blocks, stored = state
+        for number, part in enumerate(spool.passes()):
+            if stored:
+                tries = stored
+            else:
+                keys, first = np.unique(part["key"], return_index=True)
+                total = np.add.reduceat(part["count"], first, dtype=np.int64)
+                held = total > 0
+                keys, first, total = keys[held], first[held], total[held]
+                p = (total + prior * 10 ** log10_of(part["single"][first])) / (part["seen"][first] + prior)
+                tries = [Trie.build(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), quantised(np.log10(p)))]
+                if keep:
+                    yield _answer(2, shard, number, tries[0].dump())
+            contexts, successors = part["key"] >> np.uint64(32), part["key"] & np.uint64(0xFFFFFFFF)
+            # A pair is in one trie at most.
+            spool.answer(part, code=np.max([t.find(contexts, successors) for t in tries], axis=0))
+        begin = 0
+        for block, size in blocks:
+            yield _answer(1, shard, block, squeeze(np.ascontiguousarray(spool.results["code"][begin : begin + size])))
+            begin += size
+
+    return _by_range(take, finish)
 
 
 def _scores(n: int, v: int, shards: int, prior: float):
@@ -335,15 +499,17 @@ def _scores(n: int, v: int, shards: int, prior: float):
         before = np.concatenate([[0], total[b.tokens][:-1]])
         before[b.first] = total[np.searchsorted(b.words, END)]
         code = codes[place]  # no pair: the last code, 0
-        p = np.where(code > 0, 10 ** ((code - 1.0) / SCALE - RANGE), 0.0) + prior / (before + prior) * uni[b.tokens]
-        sums = [np.bincount(b.doc, x, len(b.sizes)) for x in (total[b.tokens] > 0, np.log10(uni)[b.tokens], np.log10(p))]
+        single = np.log10(uni)[b.tokens]
+        # A pair's probability is in its trie; without one the context's back-off weight stands before the word's own.
+        log_p = np.where(code > 0, log10_of(code), np.log10(prior / (before + prior)) + single)
+        sums = [np.bincount(b.doc, x, len(b.sizes)) for x in (total[b.tokens] > 0, single, log_p)]
         docs = left.column("docs").combine_chunks()
         return pa.table({"docs": docs.flatten() if isinstance(docs, pa.ListArray) else docs.chunk(0).flatten(), "tokens": pa.array(b.sizes), "known": pa.array(sums[0].astype(np.int64)), "base": pa.array(sums[1]), "score": pa.array(sums[2])})
 
     return run
 
 
-def score(docs: DataFrame, train: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prior: float = PRIOR) -> DataFrame:
+def score(docs: DataFrame, train: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prior: float = PRIOR, save: str | None = None, model: str | None = None) -> DataFrame:
     """One row per input row: the keep columns, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Tokens are words (runs without ASCII white space, A-Z lower-cased) and one end. base_score is the unigram score with
@@ -351,10 +517,16 @@ def score(docs: DataFrame, train: Column, text: str = "text", keep: tuple[str, .
     p(w | h) = (count(h w) + prior * p(w)) / (count(h) + prior), with the unigram p(w); a text's first token has the start
     as its context. Each context's probabilities add up to 1, one unknown word included.
 
-    Texts become blocks of about BLOCK tokens. A block asks vocabulary shards for its distinct words' counts and ids, then
-    bigram shards for its distinct pairs. A bigram shard holds its pairs in an Elias-Fano trie, built from what all blocks
-    counted, with count(h w) / (count(h) + prior) quantised to steps of 1 / SCALE in log10. Shards grow in number with
-    the corpus, not in size; a frequent context's successors are dealt over SPREAD parts of shards.
+    Texts become blocks of about BLOCK tokens. A block asks vocabulary ranges for its distinct words' counts and ids, then
+    bigram ranges for its distinct pairs. The words of a vocabulary range are an Elias-Fano level, the pairs of a bigram range
+    a trie with p(w | h), quantised to steps of 1 / SCALE in log10, both in mapped files and built from what all blocks
+    counted. A pair that the trie lacks gets its context's back-off weight, prior / (count(h) + prior), times p(w).
+    Ranges are as many as the corpus needs, up to RANGES; from there on they are sorted in runs on disk and become several
+    tries each, so memory stays bounded, and rows exchanged (one for each block and range) grow with the corpus.
+    A frequent context's successors are dealt over SPREAD ranges.
+
+    With save, the levels are written to that folder too, as Parquet; with model, those in that folder score docs, and nothing
+    is learned (train still marks held_out).
 
     Words are told apart by 64-bit hashes; at most 2**32 distinct training words get ids. A null text is empty and has one
     token, the end; a null train mark counts as held out. Without training rows every probability is that of an unknown
@@ -368,17 +540,38 @@ def score(docs: DataFrame, train: Column, text: str = "text", keep: tuple[str, .
     kept = "struct<" + ", ".join(f"{n}: {types[n]}" for n in [*names, "train"]) + ">"
     blocks = rows.mapInArrow(_blocks([*names, "train"]), f"block bigint, n_tokens bigint, n_words bigint, docs array<{kept}>, marks binary, sizes binary, words binary, by binary, tokens binary")
     blocks = scratch.put(blocks, "blocks")
-    size = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
-    word_shards, pair_shards = -(-size["words"] // WORDS) or 1, -(-size["tokens"] // PAIRS) or 1
-
-    asked = blocks.drop("docs").mapInArrow(_words_out(word_shards), "shard bigint, block bigint, keys binary, counts binary")
-    words = scratch.put(asked.groupBy("shard").applyInArrow(_vocabulary(word_shards), _ANSWER), "vocabulary")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-
-    pairs = blocks.drop("docs").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_pairs_out(pair_shards), "shard bigint, block bigint, contexts binary, sizes binary, seen binary, successors binary, counts binary")
-    codes = scratch.put(pairs.groupBy("shard").applyInArrow(_tries(prior), _ANSWER), "codes")
-
-    found = blocks.groupBy("block").cogroup(words.unionByName(codes).groupBy("block")).applyInArrow(_scores(total["n"], total["v"], pair_shards, prior), f"docs {kept}, tokens bigint, known bigint, base double, score double")
+    if model is None:
+        size = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
+        word_ranges, pair_ranges = (min(RANGES, -(-size[c] // most) or 1) for c, most in (("words", WORDS), ("tokens", PAIRS)))
+    else:
+        known = spark.read.parquet(f"{model}/totals").first()
+        word_ranges, pair_ranges, prior = known["word_ranges"], known["pair_ranges"], known["prior"]
+
+    def in_order(asked: DataFrame) -> DataFrame:
+        return asked.repartition("shard").sortWithinPartitions("shard", "block")
+
+    asked = blocks.drop("docs").mapInArrow(_words_out(word_ranges), "shard bigint, block bigint, keys binary, counts binary")
+    if model is not None:
+        asked = asked.unionByName(spark.read.parquet(f"{model}/words").select("shard", F.lit(-1).cast("long").alias("block"), F.col("a").alias("keys"), F.col("b").alias("counts")))
+    words = scratch.put(in_order(asked).mapInArrow(_vocabulary(word_ranges, RUN, save is not None), _ANSWER), "vocabulary")
+    if model is None:
+        total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    else:
+        total = {"n": known["n"], "v": known["v"]}
+
+    answers = words.where("kind = 0")
+    pairs = blocks.drop("docs").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_pairs_out(pair_ranges, total["n"], total["v"]), ", ".join(f"{c} {'bigint' if c in ('shard', 'block') else 'binary'}" for c in _ASKED))
+    if model is not None:
+        empty = [F.lit(None).cast("binary").alias(c) for c in _ASKED[3:]]
+        pairs = pairs.unionByName(spark.read.parquet(f"{model}/tries").select("shard", F.lit(-1).cast("long").alias("block"), F.col("a").alias("contexts"), *empty))
+    codes = scratch.put(in_order(pairs).mapInArrow(_tries(prior, RUN, save is not None), _ANSWER), "codes")
+    if save is not None:
+        words.where("kind = 2").select("shard", "a", "b").write.parquet(f"{save}/words")
+        codes.where("kind = 2").select("shard", "block", "a").write.parquet(f"{save}/tries")
+        spark.createDataFrame([(word_ranges, pair_ranges, float(prior), total["n"], total["v"])], "word_ranges int, pair_ranges int, prior double, n long, v long").coalesce(1).write.parquet(f"{save}/totals")
+
+    told = answers.unionByName(codes.where("kind = 1"))
+    found = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scores(total["n"], total["v"], pair_ranges, prior), f"docs {kept}, tokens bigint, known bigint, base double, score double")
     return found.select(
         *[F.col("docs")[n].alias(c) for c, n in zip(keep, names, strict=True)], (~F.col("docs.train")).alias("held_out"), F.col("tokens").alias("n_tokens"),
         F.col("known").alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",

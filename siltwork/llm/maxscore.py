@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from siltwork.llm.common import Scratch
 
 SHARD_ROWS, QUERY_ROWS = 4096, 512
-_PACKED = "ids binary, offsets binary, terms binary, weights binary"
+_COLUMNS = ("rows", "ids", "offsets", "terms", "weights")
+_PACKED = ", ".join(f"{c} binary" for c in _COLUMNS)
 
 
-def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, and the sparse rows as offsets, terms and weights; zeros hold no posting."""
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Row numbers and ids, and the sparse rows as offsets, terms and weights; zeros hold no posting."""
     ids = np.asarray(batch["vec_id"], np.int64)
     lists = batch["weights"]
     size = np.diff(np.asarray(lists.offsets, np.int64))
@@ -24,7 +25,7 @@ def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     terms = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
     held = flat != 0
     owner = np.repeat(np.arange(len(ids)), size)[held]
-    return ids, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(ids)))]), terms[held], flat[held]
+    return np.asarray(batch["row"], np.int64), ids, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(ids)))]), terms[held], flat[held]
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,20 +33,20 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = [_rows(b) for b in batches if b.num_rows]
     if not got:
         return
-    ids, terms, weights = (np.concatenate([g[k] for g in got]) for k in (0, 2, 3))
-    sizes = np.concatenate([np.diff(g[1]) for g in got])
+    rows, ids, terms, weights = (np.concatenate([g[k] for g in got]) for k in (0, 1, 3, 4))
+    sizes = np.concatenate([np.diff(g[2]) for g in got])
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (ids, offsets, terms, weights)], ["ids", "offsets", "terms", "weights"])
+    yield pa.RecordBatch.from_arrays([pa.array([x.astype("<i8").tobytes()], pa.binary()) for x in (rows, ids, offsets, terms, weights)], list(_COLUMNS))
 
 
 class Shard:
     """Postings of a block of rows by term, with each term's least and largest weight (0 where a row lacks it)."""
 
-    def __init__(self, ids: np.ndarray, offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, offsets: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")  # ties go to smaller ids
         rank = np.empty(len(ids), np.int64)
         rank[order] = np.arange(len(ids))
-        self.ids = ids[order]
+        self.ids, self.numbers = ids[order], numbers[order]
         rows = rank[np.repeat(np.arange(len(ids)), np.diff(offsets))]
         self.high = int(np.abs(weights).max(initial=0))
         by = np.lexsort((rows, terms))
@@ -59,12 +60,12 @@ class Shard:
             self.bounds[t] = (min(int(w.min()), 0) if some else int(w.min()), max(int(w.max()), 0) if some else int(w.max()))
 
     def top(self, terms: np.ndarray, weights: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (ids, scores) for a query, its own id aside; ties to the smaller id."""
+        """The k best (ids, scores) for a query, its own row aside; ties to the smaller id."""
         query = [(t, q) for t, q in zip(terms.tolist(), weights.tolist(), strict=True) if t in self.postings]
         n = len(self.ids)
         whole = int if all(isinstance(q, int) for _, q in query) and self.high * sum(abs(q) for _, q in query) >= 2**62 else np.int64
         acc = np.zeros(n, object if whole is int else np.int64)
-        out = self.ids == own
+        out = self.numbers == own
         # A term's contribution lies between its two bounds; the largest spreads are the essential terms.
         part = []
         for t, q in query:
@@ -106,37 +107,43 @@ class Shard:
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, None  # the join brings a shard's query blocks one after another
         for batch in batches:
             for row in batch.to_pylist():
-                a = [np.frombuffer(row[c], "<i8") for c in ("ids", "offsets", "terms", "weights")]
-                b = [np.frombuffer(row["q_" + c], "<i8") for c in ("ids", "offsets", "terms", "weights")]
-                shard = Shard(*a)
-                got = [shard.top(b[2][i:j], b[3][i:j], own, k) for own, i, j in zip(b[0].tolist(), b[1][:-1], b[1][1:], strict=True)]
-                query = np.repeat(b[0], [len(g[0]) for g in got])
-                limit = np.iinfo(np.int64)
+                if held != row["part"]:
+                    shard, held = Shard(*[np.frombuffer(row[c], "<i8") for c in _COLUMNS]), row["part"]
+                rows, ids, offsets, terms, weights = (np.frombuffer(row["q_" + c], "<i8") for c in _COLUMNS)
+                got = [shard.top(terms[i:j], weights[i:j], own, k) for own, i, j in zip(rows.tolist(), offsets[:-1], offsets[1:], strict=True)]
+                sizes, limit = [len(g[0]) for g in got], np.iinfo(np.int64)
                 score = [min(max(int(s), limit.min), limit.max) for g in got for s in g[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(np.concatenate([g[0] for g in got]), pa.int64()), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, sizes)), pa.array(np.repeat(ids, sizes), pa.int64()), pa.array(np.concatenate([g[0] for g in got]), pa.int64()), pa.array(score, pa.int64())], ["query_row", "query_id", "vec_id", "score"])
 
     return run
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
-    """(vec_id, weights array<bigint>): floor(scale * x) of each component; rows that take no part are left out."""
+    """(row, vec_id, weights array<bigint>): floor(scale * x) of each component, and a number for each row.
+
+    Rows without an id, with a null vector, or with a component that is null or not finite are left out. Ids may repeat: each
+    row is one of its own. Vectors may differ in length, and an empty one stays. A component beyond 2**52 counts as that, so
+    that it stays a long. The result is written once, as its row numbers must not change. Other columns are ignored.
+    """
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
     fine = F.col(vector).isNotNull() & F.col(id_col).isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fine, F.transform(x, lambda v: F.floor(F.lit(float(scale)) * F.least(F.greatest(v, F.lit(-(2.0**52))), F.lit(2.0**52))))).alias("weights"))
-    return rows.where("weights is not null").groupBy("vec_id").agg(F.min("weights").alias("weights"))
+    whole = F.transform(x, lambda v: F.floor(F.lit(float(scale)) * F.least(F.greatest(v, F.lit(-(2.0**52))), F.lit(2.0**52))))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fine, whole).alias("weights")).where("weights is not null")
+    return Scratch(vectors.sparkSession, "vectors").put(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "weights"), "rows")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries the k rows of vectors with the largest inner product.
 
-    Both hold (vec_id, weights array<bigint>) with one row per vec_id; a dimension is a term, a component that is not
-    0 a posting. Vectors are dealt by hash to shards of about shard_rows. In a shard, a query's terms are sorted by
+    Both hold (row, vec_id, weights array<bigint>), a number of its own for each row; a dimension is a term, a component that
+    is not 0 a posting, so that a vector lacks the terms beyond its length. Vectors are dealt by hash to shards of about shard_rows. In a shard, a query's terms are sorted by
     the spread between the bounds of their contributions. Postings are traversed from the largest; the others'
     summed bounds tell which rows can still reach the k-th best, and once that leaves half of them out, the other
-    terms are only probed for those that compete. Shards' results are merged. A query's own vec_id is left out,
-    ties go to the smaller vec_id, and fewer than k rows are all returned. Shards and query blocks are joined by
+    terms are only probed for those that compete. Shards' results are merged. A query's own row is left out, but not others
+    that repeat its vec_id; repeated queries are answered each. Ties go to the smaller vec_id, and fewer than k rows are all returned. Shards and query blocks are joined by
     shard, so a task holds one of either.
 
     Empty tables give an empty result. Scores beyond a long are cut to its range.
@@ -145,12 +152,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     scratch = Scratch(spark, "maxscore")
     shards = max(1, -(-vectors.count() // shard_rows))
     blocks = max(1, -(-queries.count() // query_rows))
-    packed = lambda df, n: df.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(n))).groupBy("part")
+    packed = lambda df, n: df.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(n))).groupBy("part")
     index = scratch.put(packed(vectors, shards).applyInArrow(_keyed, f"part bigint, {_PACKED}"), "shards")
     asked = scratch.put(packed(queries, blocks).applyInArrow(_keyed, f"part bigint, {_PACKED}"), "queries")
-    asked = asked.select(*[F.col(c).alias("q_" + c) for c in ("ids", "offsets", "terms", "weights")], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"))
-    found = index.join(asked, "part").drop("part").mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    asked = asked.select(*[F.col(c).alias("q_" + c) for c in _COLUMNS], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"))
+    found = index.join(asked, "part").mapInArrow(_search(k), "query_row bigint, query_id bigint, vec_id bigint, score bigint")
+    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.llm.words import text_runs
@@ -131,7 +131,12 @@ def _arrow(rows: DataFrame) -> pa.DataType:
 
 
 def pack_ids(docs: DataFrame, length: int = LENGTH, pad: int = 0, ids: str = "ids", id_col: str = "doc_id", vocabulary: int = 1 << 16, shard: int = SHARD) -> DataFrame:
-    """Rows of length token ids from an array column of ids; see pack_texts for the columns. Null lists and empty ones have no piece."""
+    """Rows of length token ids from an array column of ids; see pack_texts for the columns.
+
+    Null lists and empty ones have no piece, so a document of one is in no row; a null id_col stays null in doc_ids.
+    vocabulary is one more than the largest id and tells how wide ids are written. Repeated rows are packed each, lists longer
+    than a row are split, an empty table gives an empty result, and other columns are ignored, whatever their names.
+    """
     rows = docs.select(F.col(id_col).alias("doc"), F.col(ids).cast("array<int>").alias("tokens"))
 
     def tokens_of():
@@ -154,7 +159,7 @@ def pack_texts(docs: DataFrame, vocabulary: str, length: int = LENGTH, text: str
     pieces[k] of document doc_ids[k], its last if last[k]. A document longer than a row is split into full pieces and
     a rest, so that its pieces in order are its tokens. A task packs what it reads in shards of about shard tokens by
     best fit decreasing: each piece goes to the row with the least free capacity that holds it, which a segment tree
-    over capacities finds. A row holds no more than length tokens, and at most one row of a shard is half empty or less.
+    over capacities finds. A row holds no more than length tokens, and at most one row of a shard is half full or less.
 
     A null text is empty; an empty text is its end alone. Ids may be of any type and null. Repeated rows are packed
     each. An empty table gives an empty result. Other columns are ignored, whatever their names.
@@ -180,15 +185,23 @@ def pack_texts(docs: DataFrame, vocabulary: str, length: int = LENGTH, text: str
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:
-    """Write packed rows as Parquet, a binary id row with its segments a record; whole shards stay together."""
+    """Write packed rows as Parquet: a record holds a row of the id matrix, its position resets and its segments.
+
+    A task writes its shards one after another, each shard's rows in order. The path must not exist yet.
+    """
     packed.write.option("compression", "zstd").parquet(path)
 
 
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """What write_matrices() wrote, as the same columns."""
+    return spark.read.parquet(path)
+
+
 def matrix(rows: list, length: int = LENGTH) -> np.ndarray:
     """The id matrix of collected rows, in their order."""
     return np.stack([np.frombuffer(r["ids"], f"<u{len(r['ids']) // length}") for r in rows]) if rows else np.zeros((0, length), "<u2")
 
 
 def digests(packed: DataFrame) -> DataFrame:
-    """The packed rows with SHA-256 of ids and positions in place of their bytes."""
+    """The packed rows with SHA-256 of ids and positions (lowercase hex) in place of their bytes; an empty table gives none."""
     return packed.withColumn("ids_sha256", F.sha2("ids", 256)).withColumn("positions_sha256", F.sha2("positions", 256)).drop("ids", "positions")

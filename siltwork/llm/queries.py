@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.llm import bpe, exact_dedup, jaccard, langid, lm, maxscore, mixing, packing, toxicity, url_filter
-from siltwork.llm.common import crc_of
+from siltwork.llm.common import Scratch, crc_of
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -38,7 +38,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(_table(spark, sf_dir, "documents"), VOCABULARY, outputs=False)
+    return bpe.encode(_table(spark, sf_dir, "documents"), VOCABULARY, outputs=())
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digests(packing.pack_texts(_table(spark, sf_dir, "documents"), RANKS))
+    """The packed matrices are written and read again; the rows returned are derived from the files."""
+    path = Scratch(spark, "packed").path("matrices")
+    packing.write_matrices(packing.pack_texts(_table(spark, sf_dir, "documents"), RANKS), path)
+    return packing.digests(packing.read_matrices(spark, path))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,10 +115,10 @@ SELECT page_id, j.host, j.path, rule, coalesce(own, CASE WHEN block AND NOT allo
     CASE WHEN own IS NOT NULL THEN 'rule' WHEN coalesce(block AND NOT allow, false) THEN 'alias' ELSE 'default' END AS reason
 FROM j LEFT JOIN comp ON j.node = comp.n LEFT JOIN mark USING (c)"""
 SQL["op2_maxscore"] = """
-WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE))) AS w FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 GROUP BY vec_id),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.w, v.w)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, v.vec_id, list_inner_product(q.w, v.w)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.r <> v.r),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 SQL["op6_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256

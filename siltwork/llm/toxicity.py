@@ -16,8 +16,9 @@ from siltwork.llm.common import Scratch, hash_limit
 #: A word, or what ends a sentence.
 TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*")
-#: A fitting sample of so many documents for each label at most, and so many features.
-SAMPLE, FEATURES = 4000, 4096
+#: A fitting sample of so many documents for each label and so many characters in all, at most about, and so many features,
+#: each seen in so many of the sample's documents at least.
+SAMPLE, CHARS, FEATURES, SEEN = 4000, 1 << 26, 4096, 5
 PREFIXES = (4, 5, 6)
 STEPS, RATE, PENALTY = 300, 0.1, 3e-4
 
@@ -57,7 +58,7 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def _bags(index: dict[str, int]):
-    """toxic, number of sentences, and (sentence, feature) pairs of each document."""
+    """toxic, weight, number of sentences, and distinct (sentence, feature) pairs of each document; a null text has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,10 +119,15 @@ class Model:
 
 
 def train(bags: list, features: list[str], steps: int = STEPS, rate: float = RATE, penalty: float = PENALTY) -> Model:
-    """Gradient descent (Adam) on the documents' log loss under noisy-or."""
+    """Gradient descent (Adam) on the documents' log loss under noisy-or.
+
+    bags hold toxic (0 or 1), weight, the number of sentences, and pairs: (sentence, feature) as little-endian 32-bit integers.
+    A document without sentences, or without known features, counts by its sentences' bias alone. Without bags the
+    weights stay 0, and those of weight 0 are left out of the model.
+    """
     y = np.array([b["toxic"] for b in bags], float)
     weight = np.array([b["weight"] for b in bags], float)
-    weight /= weight.sum()
+    weight /= max(weight.sum(), 1e-300)
     total = np.array([b["sentences"] for b in bags], float)
     pairs = [np.frombuffer(b["pairs"], "<i4").reshape(-1, 2) for b in bags]
     size = [len(p) for p in pairs]
@@ -151,12 +157,13 @@ def train(bags: list, features: list[str], steps: int = STEPS, rate: float = RAT
     return Model({f: float(x) for f, x in zip(features, w, strict=True) if x}, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", toxic: str = "toxic", sample: int = SAMPLE, features: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", toxic: str = "toxic", sample: int = SAMPLE, features: int = FEATURES, chars: int = CHARS, seen: int = SEEN) -> Model:
     """A Model learned from labels(key, toxic) of docs.
 
     It is fitted on at most about `sample` labelled documents of each label, chosen by the hash of their key, and
-    weighed so that the labels keep their shares. Features are the `features` words and word starts whose document
-    frequencies tell the labels apart best. A key with several labels counts as toxic if one says so; null keys,
+    weighed so that the labels keep their shares. Sampled texts of more than chars / 64 characters teach nothing, and of the
+    others so many are left out, by hash, that about chars characters remain: what reaches the driver is bounded in bytes. Features are the `features` words and word starts whose document
+    frequencies tell the labels apart best, of those in `seen` sampled documents at least. A key with several labels counts as toxic if one says so; null keys,
     null labels and labels without a document teach nothing. With fewer than two labels the model knows nothing and
     its scores are near 0.
     """
@@ -171,15 +178,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     limit = F.when(F.col("toxic") == 1, F.lit(hash_limit(share[1]))).otherwise(F.lit(hash_limit(share[0])))
     marks = marks.where(F.shiftrightunsigned(F.xxhash64("key"), 1) <= limit).withColumn("weight", F.when(F.col("toxic") == 1, 1 / share[1]).otherwise(1 / share[0]))
     # About 2 * sample short rows: small enough to broadcast at any size of the corpus.
-    bags = scratch.put(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marks), "key").select("text", "toxic", "weight"), "sample")
+    bags = scratch.put(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(marks), "key").select("key", "text", "toxic", "weight"), "sample")
+    bags = bags.where(F.coalesce(F.length("text"), F.lit(0)) <= chars // 64)
+    held = bags.agg(F.sum(F.length("text"))).first()[0] or 0
+    if held > chars:
+        bags = bags.where(F.shiftrightunsigned(F.xxhash64("key", F.lit("chars")), 1) <= hash_limit(chars / held)).withColumn("weight", F.col("weight") * F.lit(held / chars))
     tally = bags.groupBy("toxic").count().collect()
     n = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in tally}
     counts = bags.select("text", "toxic").mapInArrow(_document_frequencies, "feature string, toxic int, n bigint")
     counts = counts.groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q"))
     a, b = F.col("p") / max(n[1], 1), F.col("q") / max(n[0], 1)
     worth = F.abs(a - b) / F.sqrt(a + b + F.lit(1.0 / max(min(n.values()), 1)))
-    names = sorted(r["feature"] for r in counts.where("p + q >= 5").withColumn("worth", worth).orderBy(F.col("worth").desc(), "feature").limit(features).collect())
-    rows = bags.mapInArrow(_bags({f: k for k, f in enumerate(names)}), "toxic int, weight double, sentences int, pairs binary").collect()
+    names = sorted(r["feature"] for r in counts.where(F.col("p") + F.col("q") >= seen).withColumn("worth", worth).orderBy(F.col("worth").desc(), "feature").limit(features).collect())
+    rows = bags.drop("key").mapInArrow(_bags({f: k for k, f in enumerate(names)}), "toxic int, weight double, sentences int, pairs binary").collect()
     return train(rows, names)
 
 

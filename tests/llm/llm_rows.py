@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import types as T
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 #: Documents with all that operators must bear: nulls in any column, empty and long texts, ties, repeated rows, and columns
 #: whose names operators use themselves.
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()), ("row", T.StringType()), ("name", T.StringType()), ("score", T.StringType()), ("digest", T.StringType()), ("h", T.StringType()), ("n", T.StringType()))])

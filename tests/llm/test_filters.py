@@ -1,10 +1,12 @@
 """URL filters, exact search, language identification, toxicity."""
 
+import math
 import random
+import re
 import zlib
 
 import pytest
-from llm_rows import SF
+from llm_rows import LARGER, SF
 from pyspark.sql import functions as F
 
 from siltwork.llm import langid, maxscore, queries, toxicity, url_filter
@@ -42,29 +44,42 @@ def test_redirect_table_chain_and_empty(spark):
     assert {r.verdict for r in url_filter.judge(df, []).collect()} == {"allow"}
 
 
-def brute_top(rows, k):
+def brute_top(rows, k, queries=lambda i: i % 100 == 0):
+    """rows: (vec_id, weights), one for each row of the table."""
     out = []
-    for q, v in sorted(rows.items()):
-        if q % 100 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows.items() if i != q))[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    return out
+    for q, (own, v) in enumerate(rows):
+        if queries(own):
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for j, (i, w) in enumerate(rows) if j != q)[:k]
+            out += [(own, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("high", [1, 40])
 def test_maxscore_against_brute_force(spark, high):
     rnd = random.Random(high)
     data = [(i, [0.0 if rnd.random() < 0.6 else rnd.gauss(0, 1) * high / 1024 for _ in range(12)], "x") for i in range(350)]
-    data += [(400, None, "x"), (401, [float("nan")] * 12, "x"), (402, [None] * 12, "x"), (100, data[100][1], "x"), (None, [1.0] * 12, "x"), (403, [float("inf")] * 12, "x")]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, score string")
+    # Repeated ids (a query's own too), repeated rows, shorter, longer and empty vectors, and rows that take no part.
+    data += [(100, data[100][1], "x"), (200, [9.0] * 12, "y"), (7, [50.0] * 12, "x"), (7, [50.0] * 12, "x"), (500, [1.5] * 5, "x"), (501, [2.5] * 20, "x"), (600, [], "x"), (-100, [0.7] * 12, None)]
+    gone = [(400, None, "x"), (401, [float("nan")] * 12, "x"), (402, [None] * 12, "x"), (None, [1.0] * 12, "x"), (403, [1.0, float("inf")], "x"), (404, [float("-inf")] * 12, "x")]
+    df = spark.createDataFrame(data + gone, "vec_id long, embedding array<double>, score string")
     ints = maxscore.integer_vectors(df)
-    rows = {r.vec_id: list(r.weights) for r in ints.collect()}
-    assert len(rows) == 350
-    got = sorted(tuple(r) for r in maxscore.top_k(ints, ints.where("vec_id % 100 = 0"), 10, shard_rows=64, query_rows=2).collect())
+    rows = [(r.vec_id, list(r.weights)) for r in ints.collect()]
+    assert sorted(rows) == sorted((i, [math.floor(1024 * x) for x in v]) for i, v, _ in data)
+    asked = ints.where("vec_id % 100 = 0")
+    got = sorted(tuple(r) for r in maxscore.top_k(ints, asked, 10, shard_rows=64, query_rows=2).collect())
     assert got == brute_top(rows, 10)
     assert maxscore.top_k(ints.limit(0), ints.limit(0), 10).count() == 0
-    few = ints.where("vec_id < 4")
-    assert sorted(tuple(r) for r in maxscore.top_k(few, few.where("vec_id = 0"), 10).collect()) == brute_top({k: rows[k] for k in range(4)}, 10)
+    few = ints.where("vec_id < 4 and vec_id >= 0")
+    rows = [r for r in rows if 0 <= r[0] < 4]
+    assert sorted(tuple(r) for r in maxscore.top_k(few, few.where("vec_id = 0"), 10).collect()) == brute_top(rows, 10)
+
+
+def test_maxscore_clamps(spark):
+    """Components beyond 2**52 count as that; scores beyond a long are cut to its range."""
+    df = spark.createDataFrame([(0, [1e300, 1e300]), (1, [1e300, -1e300]), (2, [1e300, 1e300])], "vec_id long, embedding array<double>")
+    ints = maxscore.integer_vectors(df)
+    got = [tuple(r) for r in maxscore.top_k(ints, ints.where("vec_id = 0"), 10).collect()]
+    assert sorted(got) == [(0, 1, 2, 2**63 - 1), (0, 2, 1, 0)]
 
 
 def test_langid(spark, odd, none):
@@ -92,6 +107,74 @@ def test_langid_backs_off():
     assert model.predict("chat")[0] == "fr" and model.predict("out")[0] == "en" and model.predict("123")[0] == model.predict("½ ② 3")[0] == "und"
 
 
+def plain_langid(model, text):
+    """Word-first backoff as said, one word at a time."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not any(c.isalpha() for c in text or "") or not model.langs:
+        return "und", 0.0
+    total = [0.0] * len(model.langs)
+    for w in words:
+        if w in model.words:
+            share, rows = 1, [model.word_logs[model.words[w]]]
+        else:
+            padded, rows = f"<{w}>", []
+            for end in range(1, len(padded) + 1):
+                known = [padded[start:end] for start in range(max(0, end - 4), end) if padded[start:end] in model.grams]
+                rows += [model.gram_logs[model.grams[known[0]]]] if known else []
+            share = 1 / max(len(rows), 1)
+        for row in rows:
+            total = [t + share * float(x) for t, x in zip(total, row, strict=True)]
+    p = [math.exp(t - max(total)) for t in total]
+    return model.langs[p.index(max(p))], max(p) / sum(p)
+
+
+def test_langid_against_brute_force(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.where("doc_id % 3 = 0"))
+    for table in (docs, odd):
+        for r in table.join(langid.identify(table, model).withColumnsRenamed({"lang_pred": "p", "score": "s"}).select(F.col("doc_id").alias("d"), "p", "s"), F.col("doc_id") == F.col("d")).select("text", "p", "s").collect():
+            lang, score = plain_langid(model, r.text)
+            assert score == pytest.approx(r.s, abs=1e-4) and (lang == r.p or score < 0.51) or r.text is None
+    # Counts: words and n-grams of whole words, however long they are.
+    word = "ab" * 60
+    got = langid.fit(spark.createDataFrame([(1, f"{word}z {word}z", "en")], "doc_id long, text string, lang string"))
+    assert set(got.words) == {word + "z"} and "bz>" in got.grams and "abab" in got.grams
+    many = spark.createDataFrame([(k, f"one two w{k % 5}", f"l{min(k, 40 - k):02}") for k in range(40)], "doc_id long, text string, lang string")
+    assert langid.fit(many, languages=3).langs == ["l01", "l02", "l03"]
+
+
+def plain_toxicity(model, text):
+    """1 minus the product of 1 - p over sentences."""
+    clean = 1.0
+    for sentence in re.split(r"[.!?\n]", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+", sentence)
+        if words:
+            z = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in [w, *["^" + w[:n] for n in (4, 5, 6) if len(w) >= n]])
+            clean *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - clean
+
+
+def test_toxicity_query_against_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    got = {r.doc_id: r for r in queries.op5_toxicity(spark, LARGER).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        want, found = plain_toxicity(model, r.text), got[r.doc_id]
+        assert found.score == pytest.approx(want, abs=1e-6) and found.predicted == int(found.score >= 0.5) and found.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [(g.score, marks[d]) for d, g in got.items() if g.held_out and marks.get(d) is not None]
+    assert sum((s >= 0.5) == bool(m) for s, m in held) >= 0.9 * len(held)
+
+
+def test_toxicity_bound_in_characters(spark):
+    docs = spark.createDataFrame([(k, ("a fine day. " if k % 2 else "you moron! ") * (400 if k == 3 else 3)) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, chars=6400)
+    assert model.score("you moron") > 0.5 > model.score("a fine day")
+
+
 def test_toxicity(spark, odd, none):
     docs = spark.createDataFrame([(k, f"a fine day number{k % 7}. you are a {'moron' if k % 3 == 0 else 'friend'}! the end of it {k}", "x") for k in range(300)], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(250)] + [(None, 1), (3, None), (9999, 1)], "doc_id long, toxic int")
@@ -114,4 +197,4 @@ def test_noisy_or():
     model = toxicity.Model({"bad": 3.0}, -1.0)
     p = model.sentence_scores("bad one. fine. so bad bad")
     assert len(p) == 3 and model.score("bad one. fine. so bad bad") == pytest.approx(1 - (1 - p[0]) * (1 - p[1]) * (1 - p[2]))
-    assert model.sentence_scores("...").tolist() == [] and F is not None
+    assert model.sentence_scores("...").tolist() == []

@@ -48,6 +48,21 @@ def test_bpe_odd(odd, none, lexicon):
     assert bpe.encode(none, VOCABULARY, words=lexicon).count() == 0
 
 
+def test_bpe_follows_the_library_on_any_character():
+    """Characters that Python, its regex module and the library class or lower-case differently, and a sample of all others."""
+    with open(VOCABULARY, encoding="utf-8") as f:
+        merges = bpe.Merges(f.read())
+    lower, classes = bpe.library_unicode()
+    encoder = bpe.Encoder(merges, bpe.Transducer.mapped(bpe.Transducer.build([], [])), bpe.Pieces(lower, classes))
+    rnd = random.Random(8)
+    odd = [chr(c) for c in (0x1C89, 0x558, 0x323B0, 0x10D50, 0xA7DC, 0x130, 0x3A3, 0x1E9E)] + sorted(lower)
+    some = odd + [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 41 == 0)]
+    texts = [f"a{c}b" for c in some] + ["".join(rnd.choice(odd + list("aB1' \t.é")) for _ in range(12)) for _ in range(2000)]
+    library = Tokenizer.from_file(VOCABULARY)
+    for text, (ids, _), want in zip(texts, encoder.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids == struct.pack(f"<{len(want.ids)}I", *want.ids), ascii(text)
+
+
 def test_transducer_is_minimal_and_exact():
     rnd = random.Random(4)
     held = sorted({bytes(rnd.choice(b"abc\xc3") for _ in range(rnd.randrange(1, 7))) for _ in range(500)})
@@ -98,6 +113,47 @@ def test_packing_round_trip(spark, odd, none):
     assert {d for r in packed for d in r.doc_ids} == {1, 4} and packing.matrix(packed, 4).sum() == 18 + 9 * 70000
 
 
+def test_packed_matrices_are_files(spark, odd, none, tmp_path):
+    """What is written is read again, repeated ids and null ids included."""
+    length = 64
+    with open(queries.RANKS, "rb") as f:
+        vocabulary = {int(i): base64.b64decode(b) for b, i in map(bytes.split, f)}
+    packing.write_matrices(packing.pack_texts(odd, queries.RANKS, length, shard=700), f"{tmp_path}/m")
+    rows = sorted(packing.read_matrices(spark, f"{tmp_path}/m").collect(), key=lambda r: (r.shard, r.row))
+    assert packing.matrix(rows, length).shape == (len(rows), length) and all(len(r.positions) == 4 * length for r in rows)
+    pieces = defaultdict(list)
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u2")
+        assert (ids[r.n_tokens :] == 50256).all()
+        for d, k, last, a, b in zip(r.doc_ids, r.pieces, r.last, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
+            pieces[str(d), r.shard].append((k, last, ids[a:b].tolist()))
+    assert Counter((t, i == 50256) for p in pieces.values() for _, _, ids in p for t, i in ((i, i) for i in ids if i == 50256)).total() == odd.count()
+    # Tokens but the ends, counted over all pieces, are those of all texts.
+    text = Counter(t for p in pieces.values() for _, _, ids in p for t in ids if t != 50256)
+    whole = sum((len(vocabulary[t]) * n for t, n in text.items()), 0)
+    assert whole == sum(len((r.text or "").encode()) for r in odd.collect())
+    packing.write_matrices(packing.pack_texts(none, queries.RANKS, length), f"{tmp_path}/none")
+    assert packing.read_matrices(spark, f"{tmp_path}/none").count() == 0 and packing.digests(packing.read_matrices(spark, f"{tmp_path}/none")).count() == 0
+
+
+def test_packing_query(spark):
+    """Every token of every document is in the rows, whose digests are of what the files hold."""
+    import tiktoken
+
+    rows = queries.op7_packing(spark, SF).collect()
+    with open(queries.RANKS, "rb") as f:
+        encoding = tiktoken.Encoding("r", pat_str=packing.PATTERN, mergeable_ranks={base64.b64decode(b): int(i) for b, i in map(bytes.split, f)}, special_tokens={})
+    want = {r.doc_id: len(encoding.encode_ordinary(r.text or "")) + 1 for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got: Counter = Counter()
+    for r in rows:
+        for d, a, b in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
+            got[d] += b - a
+    assert got == want and all(len(r.ids_sha256) == len(r.positions_sha256) == 64 for r in rows)
+    assert sum(r.n_tokens for r in rows) > 0.98 * packing.LENGTH * len(rows)
+    packed = packing.pack_texts(spark.read.parquet(f"{SF}/documents.parquet"), queries.RANKS)
+    assert Counter((sha(r.ids), sha(r.positions)) for r in packed.collect()) == Counter((r.ids_sha256, r.positions_sha256) for r in rows)
+
+
 @pytest.mark.parametrize("length", [5, 64, 1000])
 def test_best_fit(length):
     sizes = np.random.default_rng(length).integers(1, length + 1, 800)
@@ -122,7 +178,7 @@ def test_elias_fano_and_trie():
         place, found = e.successor(x)
         assert (e.get(np.arange(len(v))) == v).all() and (place == np.searchsorted(v, x)).all() and (found == np.isin(x, v)).all()
     pairs = np.unique(np.stack([rnd.integers(0, 50, 600), rnd.integers(1, 900, 600)], 1), axis=0).astype(np.uint64)
-    trie = lm.Trie(pairs[:, 0], pairs[:, 1], np.arange(1, len(pairs) + 1))
+    trie = lm.Trie.load(lm.Trie.build(pairs[:, 0], pairs[:, 1], np.arange(1, len(pairs) + 1)).dump())
     assert (trie.find(pairs[:, 0], pairs[:, 1]) == np.arange(1, len(pairs) + 1)).all()
     known = {tuple(p) for p in pairs.tolist()}
     asked = np.stack([rnd.integers(0, 60, 500), rnd.integers(0, 1000, 500)], 1).astype(np.uint64)
@@ -146,9 +202,9 @@ def brute_scores(docs, train, prior):
 
 
 @pytest.mark.parametrize("small", [False, True])
-def test_lm(spark, odd, none, monkeypatch, small):
+def test_lm(spark, odd, none, monkeypatch, tmp_path, small):
     if small:  # many blocks and shards
-        for name, value in (("BLOCK", 900), ("WORDS", 64), ("PAIRS", 300)):
+        for name, value in (("BLOCK", 900), ("WORDS", 64), ("PAIRS", 300), ("RANGES", 5), ("RUN", 200)):
             monkeypatch.setattr(lm, name, value)
     docs = odd if small else spark.read.parquet(f"{SF}/documents.parquet")
     got = lm.score(docs, F.col("doc_id") % 5 != 1).collect()
@@ -158,6 +214,26 @@ def test_lm(spark, odd, none, monkeypatch, small):
     for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-6) and abs(a[6] - b[6]) <= 2e-4 * b[2]
     assert lm.score(none, F.lit(True)).count() == 0
+    kept = f"{tmp_path}/model"
+    again = lm.score(docs, F.col("doc_id") % 5 != 1, save=kept)
+    assert sorted(map(str, again.collect())) == sorted(map(str, got))
+    half = docs.where("doc_id % 2 = 0")
+    assert sorted(map(str, lm.score(half, F.col("doc_id") % 5 != 1, model=kept).collect())) == sorted(map(str, again.where("doc_id % 2 = 0").collect()))
+
+
+def test_spool():
+    rnd = np.random.default_rng(3)
+    for n, limit in ((0, 10), (7, 10), (5000, 300)):
+        spool = lm.Spool({"x": "<i8"}, {"y": "<i8"}, limit)
+        keys = rnd.integers(0, max(1, n // 3), n).astype(np.uint64)
+        for i in range(0, n, 90):
+            spool.add(key=keys[i : i + 90], x=keys[i : i + 90].astype(np.int64) * 2)
+        seen = []
+        for part in spool.passes():
+            assert (np.diff(part["key"].astype(np.int64)) >= 0).all() and (part["x"] == part["key"].astype(np.int64) * 2).all()
+            seen.append(set(part["key"].tolist()))
+            spool.answer(part, y=part["x"] + 1)
+        assert sum(map(len, seen)) == len(set(keys.tolist())) and (spool.results["y"] == keys.astype(np.int64) * 2 + 1).all()
 
 
 def test_lm_query(spark):
