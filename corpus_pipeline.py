@@ -30,7 +30,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, VOCABULARY, outputs=False)
+    """Token ids of each document; decoding back is checked by the digest of what it gives."""
+    return bpe.encode(docs, VOCABULARY, outputs=("ids",))
 
 
 STAGES = [("toxicity", toxic), ("exact dedup", exact), ("near duplicates", near), ("mixing", mix), ("encoding", encode)]
