@@ -53,12 +53,17 @@ def collapse_blank_lines(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
 
 
+#: What html leaves behind, and its entities, both in the order they are replaced.
+HTML_TAGS = ((r"(?is)<(script|style|head).*?</\1>", " "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|tr|li|h[1-6])>", "\n"), (r"(?i)</t[dh]>", "\t"), (r"(?s)<[^>]+>", ""))
+HTML_ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
+
+
 def html_to_text(html: Column) -> Column:
     """Text of a mail's html: blocks end lines, cells end with tabs, entities are replaced in a fixed order."""
     c = F.coalesce(html, F.lit(""))
-    for pattern, to in ((r"(?is)<(script|style|head).*?</\1>", " "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|tr|li|h[1-6])>", "\n"), (r"(?i)</t[dh]>", "\t"), (r"(?s)<[^>]+>", "")):
+    for pattern, to in HTML_TAGS:
         c = F.regexp_replace(c, pattern, to)
-    for entity, to in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
+    for entity, to in HTML_ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(to))
     return collapse_blank_lines(c)
 
@@ -76,14 +81,18 @@ def _count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+#: The letters that tell the languages of mails apart.
+CYRILLIC, LATIN, HANGUL, UKRAINIAN = "[а-яА-ЯёЁіїєґІЇЄҐ]", "[a-zA-Z]", "[가-힣]", "[іїєґІЇЄҐ]"
+
+
 def detect_lang(text: Column) -> Column:
     """ru, uk, en, ko or mixed by shares of letters; empty without letters."""
     c = F.coalesce(text, F.lit(""))
-    cyr, lat, kor = _count(c, "[а-яА-ЯёЁіїєґІЇЄҐ]"), _count(c, "[a-zA-Z]"), _count(c, "[가-힣]")
+    cyr, lat, kor = _count(c, CYRILLIC), _count(c, LATIN), _count(c, HANGUL)
     total, top = cyr + lat + kor, F.greatest(cyr, lat, kor)
     return (
         F.when(total == 0, "").when(top / F.greatest(total, F.lit(1)) < schema.LANG_SHARE, "mixed")
-        .when((cyr == top) & c.rlike("[іїєґІЇЄҐ]"), "uk").when(cyr == top, "ru").when(lat == top, "en").otherwise("ko")
+        .when((cyr == top) & c.rlike(UKRAINIAN), "uk").when(cyr == top, "ru").when(lat == top, "en").otherwise("ko")
     )
 
 
@@ -178,6 +187,36 @@ def stem_regex(stem: str) -> str:
     return r"(?iuU)\b\Q" + stem.strip().replace("\\E", "") + r"\E"
 
 
+def decode_folder(name: Column) -> Column:
+    """A mail folder's name from modified UTF-7: &...- holds base64 of UTF-16, with a comma for the slash; &- is an ampersand."""
+    parts = F.regexp_extract_all(name, F.lit("&[^-]*-|[^&]+|&[^-]*$"), F.lit(0))
+    coded = lambda p: F.replace(F.substring(p, F.lit(2), F.length(p) - 2), F.lit(","), F.lit("/"))
+    plain = F.transform(parts, lambda p: F.when(p == "&-", "&").when(p.startswith("&") & p.endswith("-"), F.decode(F.unbase64(coded(p)), "UTF-16BE")).otherwise(p))
+    return F.array_join(plain, "")
+
+
+def address_json(emails: Column, names: Column) -> Column:
+    """Arrays of addresses and names as JSON text; missing ones as an empty list."""
+    both = F.arrays_zip(F.coalesce(emails, F.array().cast("array<string>")).alias("email"), F.coalesce(names, F.array().cast("array<string>")).alias("name"))
+    return F.to_json(F.transform(both, lambda x: F.struct(x["email"].alias("email"), F.coalesce(x["name"], F.lit("")).alias("name"))))
+
+
+def addresses_of(c: Column) -> Column:
+    """(email, name) from JSON text; text that is not such a list is an empty one."""
+    return F.coalesce(F.from_json(c, "array<struct<email:string,name:string>>"), F.array().cast("array<struct<email:string,name:string>>"))
+
+
+def emails_of(c: Column) -> Column:
+    """Lower-cased addresses from JSON text, empty ones left out."""
+    return F.filter(F.transform(addresses_of(c), lambda a: F.lower(F.coalesce(a["email"], F.lit("")))), lambda e: e != "")
+
+
+def index_names(raw: Column, fallback: str) -> Column:
+    """Distinct names of a comma list in their order; the fallback where it has none."""
+    names = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), lambda n: F.trim(n)), lambda n: n != ""))
+    return F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(fallback)))
+
+
 def thread_root(given: Column, references: Column, in_reply_to: Column, message_id: Column) -> Column:
     some = lambda c: F.when(c != "", c)
     return F.coalesce(some(given), some(F.get(references, F.lit(0))), F.when(F.size(F.coalesce(references, F.array())) <= 0, some(in_reply_to)), message_id)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltwork import schema
@@ -22,9 +24,20 @@ def tail_of(previous: str, overlap: int) -> str:
     return rest.strip() if space else ""
 
 
-def _windows(text: str, size: int, overlap: int) -> list[str]:
-    step = max(1, size - overlap)
-    return [text[at : at + size] for at in range(0, len(text), step)]
+def _ends(text: str, mark: str) -> list[int]:
+    """Where the parts between marks end."""
+    return [*(m.start() for m in re.finditer(re.escape(mark), text)), len(text)]
+
+
+def _spans(text: str, mark: str, size: int) -> Iterator[tuple[int, int]]:
+    """Spans of text that start and end at marks and are as long as size allows; a part beyond size is a span by itself."""
+    ends, k, begin = _ends(text, mark), 0, 0
+    while k < len(ends):
+        fit = bisect.bisect_right(ends, begin + size) - 1
+        last = k if ends[k] == begin else max(k, fit)  # a span never starts with an empty part
+        if ends[last] > begin:
+            yield begin, ends[last]
+        begin, k = ends[last] + len(mark), last + 1
 
 
 def split_text(text: str, size: int = schema.CHUNK_SIZE, overlap: int = schema.CHUNK_OVERLAP) -> list[str]:
@@ -33,62 +46,38 @@ def split_text(text: str, size: int = schema.CHUNK_SIZE, overlap: int = schema.C
     Overlap is added at each level, so a chunk may be longer than size.
     """
     text = text.strip()
+    mark = next((m for m in schema.SEPARATORS if m and m in text), None)
     if len(text) <= size:
-        return [text] if text else []
-    separator = next(s for s in schema.SEPARATORS if s == "" or s in text)
-    if not separator:
-        return _windows(text, size, overlap)
-    packed: list[str] = []
-    pending: list[str] = []
-    room = size
-
-    def flush() -> None:
-        nonlocal room
-        if joined := separator.join(pending):
-            packed.append(joined)
-        pending.clear()
-        room = size
-
-    for part in text.split(separator):
-        # An empty run at the front adds nothing, not even a separator.
-        cost = len(part) + (len(separator) if separator.join(pending) else 0)
-        if cost <= room:
-            if not separator.join(pending):
-                pending.clear()
-            pending.append(part)
-            room -= cost
-            continue
-        flush()
-        if len(part) <= size:
-            pending.append(part)
-            room -= len(part)
-        else:
-            packed += split_text(part, size, overlap)
-    flush()
-    out = []
-    for k, chunk in enumerate(packed):
-        tail = tail_of(packed[k - 1], overlap) if k else ""
-        out.append(f"{tail} {chunk}".strip() if tail else chunk)
-    return [c for c in out if c.strip()]
-
-
-def pack_paragraphs(text: str, most: int = schema.MAIL_CHUNK, overlap: int = schema.MAIL_OVERLAP) -> list[str]:
-    """Paragraphs packed to most characters; each part starts with the last characters of the one before. A long paragraph stays whole."""
-    if len(text) <= most:
-        return [text]
-    parts: list[str] = []
-    held = ""
-    for paragraph in text.split("\n\n"):
-        joined = f"{held}\n\n{paragraph}" if held else paragraph
-        if len(held) + 2 + len(paragraph) <= most:
-            held = joined
-            continue
-        if held:
-            parts.append(held)
-            held = f"{held[-overlap:]}\n\n{paragraph}"
-        else:
-            held = paragraph
-    return [*parts, held] if held else parts
+        return [text] * bool(text)
+    if mark is None:
+        return [text[at : at + size] for at in range(0, len(text), max(1, size - overlap))]
+    cut = [[text[a:b]] if b - a <= size else split_text(text[a:b], size, overlap) for a, b in _spans(text, mark, size)]
+    flat = [c for level in cut for c in level]
+    tails = ["", *(tail_of(c, overlap) for c in flat[:-1])]
+    return [c for t, own in zip(tails, flat, strict=True) if (c := f"{t} {own}".strip() if t else own).strip()]
+
+
+def packed_paragraphs(text: Column, most: int = schema.MAIL_CHUNK, overlap: int = schema.MAIL_OVERLAP) -> Column:
+    """Paragraphs packed to most characters, as an array; each part starts with the last characters of the one before.
+
+    A long paragraph stays whole. A null text is empty, and an empty one is one empty part.
+    """
+    text = F.coalesce(text, F.lit(""))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(acc: Column, paragraph: Column) -> Column:
+        bare = acc["open"] == ""
+        fits = F.length(acc["open"]) + 2 + F.length(paragraph) <= most
+        before = F.when(fits, acc["open"]).otherwise(F.right(acc["open"], F.lit(overlap)))
+        return F.struct(F.when(fits | bare, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), F.when(bare, paragraph).otherwise(F.concat(before, F.lit("\n\n"), paragraph)).alias("open"))
+
+    parts = F.aggregate(F.split(text, "\n\n", -1), start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(parts)
+
+
+def paragraph_chunks(rows: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
+    """keep, pos (from 0) and text of each part that paragraphs of text are packed into."""
+    return rows.select(*keep, F.posexplode(packed_paragraphs(F.col(text))).alias("pos", "text"))
 
 
 def _lists(cut):

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from siltwork import schema
 
-#: Queries that are broadcast at once: a bound on what a task holds.
-QUERY_BLOCK = 4096
+#: Vectors that are packed into one row: queries and rows meet block by block.
+BLOCK = 4096
+_PACKED = "size int, keys binary, matrix binary"
 
 
 def normalized(v: Column) -> Column:
@@ -27,17 +28,44 @@ def dimension(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.agg(F.max(F.size(vector)).alias("dimension"), (F.min(F.size(vector)) == F.max(F.size(vector))).alias("constant"))
 
 
-def _best(ids: np.ndarray, matrix: np.ndarray, k: int, digits: int):
+def finite(v: Column) -> Column:
+    """Not null, and no component null, infinite or not a number."""
+    return v.isNotNull() & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of up to BLOCK vectors of one dimension, as bytes."""
+    held: dict[int, tuple[list, list]] = {}
+
+    def block(size: int) -> pa.RecordBatch:
+        keys, rows = held.pop(size)
+        return pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([np.array(keys, "<i8").tobytes()], pa.binary()), pa.array([np.concatenate(rows).astype("<f8").tobytes()], pa.binary())], ["size", "keys", "matrix"])
+
+    for batch in batches:
+        for key, vector in zip(batch["key"].to_pylist(), batch["vector"], strict=True):
+            size = len(vector)
+            keys, rows = held.setdefault(size, ([], []))
+            keys.append(key)
+            rows.append(np.asarray(vector.values, np.float64))
+            if len(keys) == BLOCK:
+                yield block(size)
+    for size in list(held):
+        yield block(size)
+
+
+def _best(k: int, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = np.asarray(batch["key"], np.int64)
-            rows = np.asarray(batch["vector"].flatten(), np.float64).reshape(len(own), -1)
-            score = np.round(matrix @ rows.T, digits)
-            order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
-            n = order.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(own[order].reshape(-1)), pa.array(np.take_along_axis(score, order, 1).reshape(-1))], ["query_id", "key", "score"])
+            for row in batch.to_pylist():
+                if row["size"] != row["asked_size"]:
+                    continue
+                ids, own = np.frombuffer(row["asked_keys"], "<i8"), np.frombuffer(row["keys"], "<i8")
+                asked, rows = np.frombuffer(row["asked_matrix"], "<f8").reshape(len(ids), -1), np.frombuffer(row["matrix"], "<f8").reshape(len(own), -1)
+                for i in range(0, len(ids), 256):
+                    score = np.round(asked[i : i + 256] @ rows.T, digits)
+                    order = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :k]
+                    n = order.shape[1]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + 256], n)), pa.array(own[order].reshape(-1)), pa.array(np.take_along_axis(score, order, 1).reshape(-1))], ["query_id", "key", "score"])
 
     return run
 
@@ -45,27 +73,18 @@ def _best(ids: np.ndarray, matrix: np.ndarray, k: int, digits: int):
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = schema.TOP_K, key: str = "vec_id", vector: str = "embedding", query: str = "vec_id", digits: int = 6, within: Column | None = None) -> DataFrame:
     """(query_id, rank, key, score): every query against every row of vectors (of those within, filtered in the scan).
 
-    Queries go out in blocks of QUERY_BLOCK, each a matrix product per Arrow batch; a batch returns its k best of each
-    query, so what is shuffled is small. Rows with a null vector take no part. Ties go to the smaller key.
+    Both sides are packed into blocks where they lie, and each block of queries meets each block of rows once, as a matrix
+    product that returns the k best of each query; nothing goes to the driver. Rows and queries whose key or vector is
+    null, or whose vector holds a component that is null or not finite, take no part, and rows only meet queries of their
+    own dimension. Ties go to the smaller key; a key that repeats is a row each time.
     """
     rows = vectors if within is None else vectors.where(within)
-    rows = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    blocks, held = [], []
-
-    def block() -> DataFrame:
-        ids, matrix = np.array([r["id"] for r in held]), np.array([r["v"] for r in held])
-        return rows.mapInArrow(_best(ids, matrix, k, digits), "query_id bigint, key bigint, score double")
-
-    for r in asked.toLocalIterator():
-        held.append(r)
-        if len(held) == QUERY_BLOCK:
-            blocks.append(block())
-            held = []
-    if held or not blocks:
-        blocks.append(block() if held else rows.select(F.lit(None).cast("long").alias("query_id"), "key", F.lit(None).cast("double").alias("score")).limit(0))
-    found = blocks[0]
-    for b in blocks[1:]:
-        found = found.unionByName(b)
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        some = df.select(F.col(name).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+        return some.where(F.col("key").isNotNull() & finite(F.col("vector")) & (F.size("vector") > 0)).mapInArrow(_pack, _PACKED)
+
+    asked = packed(queries, query).select(*[F.col(c).alias(f"asked_{c}") for c in ("size", "keys", "matrix")])
+    found = packed(rows, key).crossJoin(asked).mapInArrow(_best(k, digits), "query_id bigint, key bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("key"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("key").alias(key), "score")

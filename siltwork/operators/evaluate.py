@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltwork import schema
 
 
+#: A labelled query: what is asked, names of documents that answer it, phrases that a right passage holds, and a note.
+LABELLED = "query string, expect array<string>, evidence array<string>, note string"
+
+
+def load_queries(spark: SparkSession, path: str) -> DataFrame:
+    """The labelled queries of a JSON array (or of several files of that kind); queries without text or expectation are left out.
+
+    Without evidence any passage of an expected document is right.
+    """
+    rows = spark.read.schema(LABELLED).option("multiLine", "true").json(path)
+    empty = F.array().cast("array<string>")
+    return rows.where((F.trim("query") != "") & (F.size("expect") > 0)).select("query", "expect", F.coalesce("evidence", empty).alias("evidence"), F.coalesce("note", F.lit("")).alias("note"))
+
+
 def document_order(ranked: DataFrame, source: str = "source", by: tuple[str, ...] = ("mode", "query_id")) -> DataFrame:
     """Distinct sources in the order in which a ranking first shows them."""
     first = ranked.groupBy(*by, source).agg(F.min("rank").alias("seen"))

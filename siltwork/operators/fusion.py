@@ -20,6 +20,13 @@ def rrf(rankings: list[DataFrame], key: list[str], by: list[str], k: int = schem
     return fused.withColumn("rank", F.row_number().over(order)).drop("seen")
 
 
+def rrf_of_indexes(ranked: DataFrame, index: str, key: str, by: str, k: int = schema.RRF_K, digits: int = 6) -> DataFrame:
+    """(by, index, key, score, rank) of results ranked within each of any number of indexes; ties go to the index first in order."""
+    scored = ranked.select(by, index, key, F.col("rank").alias("_r"), F.round(1.0 / (k + F.col("rank")).cast("double"), digits).alias("score"))
+    order = Window.partitionBy(by).orderBy(F.col("score").desc(), F.col(index).asc_nulls_last(), "_r", key)
+    return scored.withColumn("rank", F.row_number().over(order)).drop("_r")
+
+
 def overlap_score(query: Column, passage: Column, digits: int = 6) -> Column:
     """An offline stand-in for a cross-encoder: the share of the query's distinct words that the passage has."""
     asked = F.array_distinct(tokenize(query))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltwork import schema
 from siltwork.functions.text import tokenize
+from siltwork.scratch import written
 
 
 def lengths(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -47,20 +48,41 @@ def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
     return queries.select(F.col(query).alias("query_id"), F.explode(tokenize(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, key: str, query: str, text: str = "text", query_text: str = "text", within: Column | None = None) -> DataFrame:
-    """(query_id, key, score) of every pair that shares a term; within filters docs before they are scored, not the statistics.
+def bm25_scores(docs: DataFrame, queries: DataFrame, key: str, query: str, text: str = "text", query_text: str = "text", within: Column | None = None, k: int | None = None) -> DataFrame:
+    """(query_id, key, score) of the pairs that share a term; within filters docs before they are scored, not the statistics.
 
-    Only postings of the queries' terms are shuffled. The statistics are one row; the queries' terms are broadcast by
-    Spark if small, else joined by sort-merge.
+    Texts are cut into tokens once: postings of the queries' terms are written, and the statistics are seen on the way.
+    The queries' terms are broadcast by Spark if small, else joined by sort-merge.
+
+    With k, only pairs are scored that may be among a query's k best. The k-th best weight of any one term bounds the k-th
+    best score from below; terms whose largest weights together stay under that can't lift a text by themselves, so texts
+    that have no other term of the query, as those that only share stop words, are never paired with it.
     """
     asked = query_terms(queries, query, query_text)
-    own = postings(docs, key, text).join(asked.select("term").distinct(), "term", "left_semi")
+    seen = Observation()
+    rows = lengths(docs, key, text).observe(seen, F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
+    own = rows.select(key, "length", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    own = written(own.groupBy(key, "term", "length").agg(F.count("*").alias("tf")), "postings")
+    n = max(seen.get.get("n") or 0, 1)
+    average = (seen.get.get("total") or 0) / n
     df = own.groupBy("term").agg(F.count("*").alias("df"))
     if within is not None:
         own = own.join(docs.where(within).select(key), key, "left_semi")
-    scored = own.join(df, "term").crossJoin(F.broadcast(corpus_stats(docs, key, text)))
-    scored = scored.select(key, "term", weight(F.col("tf"), F.col("length"), F.col("average"), idf(F.col("n"), F.col("df"))).alias("w"))
-    return scored.join(asked, "term").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+    w = weight(F.col("tf"), F.col("length"), F.lit(average), idf(F.lit(n), F.col("df")))
+    scored = own.join(df, "term").select(key, "term", w.alias("w"))
+    if k is None:
+        return scored.join(asked, "term").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+    scored = written(scored, "weights")
+    best = Window.partitionBy("term").orderBy(F.col("w").desc())
+    bounds = scored.select("term", "w").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    bounds = bounds.groupBy("term").agg(F.max("w").alias("most"), F.max(F.when(F.col("r") == k, F.col("w"))).alias("kth"))
+    of_query = Window.partitionBy("query_id")
+    rated = asked.join(bounds, "term").withColumn("most", F.col("most") * F.col("qf")).withColumn("floor", F.max(F.coalesce(F.col("kth") * F.col("qf"), F.lit(0.0))).over(of_query))
+    upto = F.sum("most").over(of_query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # A margin for rounding, which could make a text equal to the k-th.
+    rated = written(rated.withColumn("needed", upto >= F.col("floor") - 1e-5).select("query_id", "term", "qf", "needed"), "query-terms")
+    pairs = scored.join(rated.where("needed").select("query_id", "term"), "term").select("query_id", key).distinct()
+    return pairs.join(scored, key).join(rated, ["query_id", "term"]).groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
 
 
 def top(scores: DataFrame, key: str, k: int = schema.TOP_K, *, by: tuple[str, ...] = ("query_id",), digits: int | None = 6) -> DataFrame:
@@ -70,6 +92,17 @@ def top(scores: DataFrame, key: str, k: int = schema.TOP_K, *, by: tuple[str, ..
     return scores.withColumn("score", score).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def save_vocabulary(docs: DataFrame, key: str, path: str, text: str = "text") -> None:
+    """Write the terms with their statistics, and the corpus' own, as JSON lines."""
+    terms(docs, key, text).write.mode("overwrite").json(f"{path}/terms")
+    corpus_stats(docs, key, text).write.mode("overwrite").json(f"{path}/corpus")
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What save_vocabulary() wrote: (term, df, idf) and one row (n, average)."""
+    return spark.read.schema("term string, df long, idf double").json(f"{path}/terms"), spark.read.schema("n long, average double").json(f"{path}/corpus")
+
+
 def same_vocabulary(one: DataFrame, two: DataFrame) -> DataFrame:
     """One row: how many (term, df) either side has alone. Zero and zero: the copy is good."""
     a, b = one.select("term", "df"), two.select("term", "df")

@@ -56,10 +56,14 @@ def collapse_threads(messages: DataFrame) -> DataFrame:
     return rows.where("_n = 1").join(per, "_key").drop("attachments", "_when", "_n").withColumnRenamed("_names", "attachments").drop("_key")
 
 
+def body_of(text: Column, html: Column) -> Column:
+    """The plain body, or else the text of the html one."""
+    return F.coalesce(F.when(text != "", text), html_to_text(html))
+
+
 def preprocess(raw: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """Cleaned mails: body_text or else the text of body_html, without quotations, signatures and disclaimers; subject; language."""
-    text = F.coalesce(F.when(F.col("body_text") != "", F.col("body_text")), html_to_text(F.col("body_html")))
-    rows = raw.select(*keep, normalize_subject(F.col("subject")).alias("clean_subject"), text.alias("raw_body"))
+    rows = raw.select(*keep, normalize_subject(F.col("subject")).alias("clean_subject"), body_of(F.col("body_text"), F.col("body_html")).alias("raw_body"))
     rows = clean_body(rows, "raw_body", (*keep, "clean_subject"))
     return rows.withColumn("lang", detect_lang(F.col("body")))
 
@@ -104,7 +108,7 @@ def mail_chunks(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of mails in threads: id, part_no, text with its header, snippet. Rows need in_threads' columns, sender, to and cc."""
     rows = in_threads(messages).withColumn("header", context_header(F.col("thread_subject"), F.col("sender"), F.col("to"), F.col("cc"), F.col("date"), F.col("idx"), F.col("messages")))
     own = ("message_id", "thread_id", "idx", "messages", "thread_subject", "thread_domains", "date", "header", *keep)
-    parts = chunking.chunks(rows, own, "body", chunking.pack_paragraphs)
+    parts = chunking.paragraph_chunks(rows, own, "body")
     return parts.select(
         F.sha1(F.concat_ws(":", "message_id", "pos").cast("binary")).alias("id"), *[c for c in own if c != "header"], F.col("pos").alias("part_no"), F.concat("header", "text").alias("text"), F.left("text", F.lit(200)).alias("snippet")
     )
@@ -151,3 +155,24 @@ def quality_report(cleaned: DataFrame) -> DataFrame:
 def metadata_by_folder(messages: DataFrame, folder: Column) -> DataFrame:
     """What an attachment's folder tells of its mail."""
     return messages.select(folder.alias("folder"), "message_id", "thread_id", F.left("date", F.lit(10)).alias("mail_date"), "sender_email", "subject").dropDuplicates(["folder"])
+
+
+def folder_stats(messages: DataFrame, folder: str = "folder") -> DataFrame:
+    """(folder, messages, threads, bulk) by folder."""
+    return messages.groupBy(folder).agg(F.count("*").alias("messages"), F.countDistinct("thread_id").alias("threads"), F.coalesce(F.sum(F.col("is_bulk").cast("int")), F.lit(0)).alias("bulk"))
+
+
+def extremes(cleaned: DataFrame, key: str, n: int = 10) -> DataFrame:
+    """(end, place, key, ratio): the n rows of which cleaning left least, and the n of which it left most; ties by key."""
+    ratio = cleaned.select(key, (F.col("clean_chars") / F.greatest(F.col("raw_chars"), F.lit(1))).alias("ratio"))
+    ends = []
+    for end, order in (("worst", F.col("ratio").asc()), ("best", F.col("ratio").desc())):
+        top = ratio.orderBy(order, key).limit(n)  # n rows are left: their order is one small sort
+        ends.append(top.select(F.lit(end).alias("end"), F.row_number().over(Window.orderBy(order, key)).alias("place"), key, "ratio"))
+    return ends[0].unionByName(ends[1])
+
+
+def before_and_after(messages: DataFrame, key: Column, text: str = "body") -> DataFrame:
+    """What cleaning does to the messages that key holds for: raw text, cleaned text and what went."""
+    rows = messages.where(key).withColumn("raw", F.col(text))
+    return clean_body(rows, text, tuple(c for c in rows.columns if c != text))

@@ -66,13 +66,23 @@ def in_period(date: Column, since: str | None, until: str | None) -> Column:
     return out
 
 
+def any_of(c: Column, values: list, is_list: bool) -> Column:
+    """The value, or any element of a list, is one of values; null never is."""
+    if not values:
+        return F.lit(False)
+    wanted = F.array(*[F.lit(v) for v in values])
+    return F.coalesce(F.arrays_overlap(c, wanted) if is_list else F.array_contains(wanted, c), F.lit(False))
+
+
 @dataclass
 class Filters:
     source: str = ""
     correspondent: str = ""
     since: str | None = None
     until: str | None = None
+    #: Values by column; of the columns named in lists any element may be one of them.
     exact: dict[str, list] = field(default_factory=dict)
+    lists: tuple[str, ...] = ("labels", "domains", "to_domains", "thread_domains", "to_emails", "cc_emails", "attachment_names")
 
     def column(self, columns: list[str]) -> Column:
         """All given filters together; a filter on a column that an index lacks matches nothing."""
@@ -84,9 +94,13 @@ class Filters:
         if self.since or self.until:
             out = out & (in_period(F.coalesce("mail_date", "date"), self.since, self.until) if "mail_date" in columns else in_period(F.col("date"), self.since, self.until))
         for c, values in self.exact.items():
-            out = out & F.coalesce(F.col(c).isin(values), F.lit(False))
+            out = out & (any_of(F.col(c), values, c in self.lists) if c in columns else F.lit(False))
         return out
 
+    def matches(self, chunks: DataFrame) -> DataFrame:
+        """One row: matched_files and matched_chunks. A filter that matches nothing says so by zeros, and a search finds nothing."""
+        return chunks.where(self.column(chunks.columns)).agg(F.countDistinct("source").alias("matched_files"), F.count("*").alias("matched_chunks"))
+
 
 class Retriever:
     """Searches several indexes of one chunk table: dense and lexical top-k, fused in each index, then over all."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +9,12 @@ from siltwork import schema
 from siltwork.functions import mail as M
 from siltwork.functions import text as T
 from siltwork.operators import chunking, dedup, dense, evaluate, fusion, importance, lexical, logs, mail, retrieve
+from siltwork.plans.registry import QUERIES, SQL
+from siltwork.plans.registry import query as _query
+from siltwork.plans.registry import table as _t
+from siltwork.scratch import written
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["QUERIES", "SQL"]
 
 # Common table expressions that several queries share.
 _TOK = r"tok AS (SELECT doc_id, source, lang, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents)"
@@ -51,7 +36,7 @@ _LEX = "lx AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY q
 
 def _lexical(spark: SparkSession, sf_dir: str, within=None) -> DataFrame:
     docs, asked = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
-    return lexical.top(lexical.bm25_scores(docs, asked, "doc_id", "item_id", "text", "text", within), "doc_id").select("query_id", "doc_id", "score", "rank")
+    return lexical.top(lexical.bm25_scores(docs, asked, "doc_id", "item_id", "text", "text", within, k=schema.TOP_K), "doc_id").select("query_id", "doc_id", "score", "rank")
 
 
 @_query(rf"WITH {_TOK} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total FROM (SELECT doc_id, unnest(w) AS term FROM tok) GROUP BY term")
@@ -99,7 +84,7 @@ def _hybrid(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     v = _t(spark, sf_dir, "embeddings")
     asked = v.join(_t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
     near = dense.dense_topk(v, asked).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
-    words = _lexical(spark, sf_dir)
+    words = written(_lexical(spark, sf_dir), "lexical")
     return near, words, fusion.rrf([near, words], ["doc_id"], ["query_id"])
 
 
@@ -109,16 +94,14 @@ def q_rrf_hybrid(spark, sf_dir):
 
 
 @_query(
-    f"""WITH {_bm25()}, li AS (SELECT query_id, lang, doc_id, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, doc_id) AS rank FROM sc JOIN documents USING (doc_id) QUALIFY rank <= 10),
-fu AS (SELECT query_id, lang AS index_name, doc_id, round(1::DOUBLE / (60 + rank), 6) AS score, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS l, rank AS r FROM li)
-SELECT query_id, index_name, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, l, r, index_name, doc_id)::INTEGER AS rank FROM fu"""
+    f"""WITH {_bm25()}, li AS (SELECT query_id, lang AS index_name, doc_id, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, doc_id) AS r FROM sc JOIN documents USING (doc_id) QUALIFY r <= 10),
+fu AS (SELECT *, round(1::DOUBLE / (60 + r), 6) AS score FROM li)
+SELECT query_id, index_name, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, index_name NULLS LAST, r, doc_id)::INTEGER AS rank FROM fu"""
 )
 def q_rrf_multi_index(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
     scores = lexical.bm25_scores(docs, _t(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", "text").join(docs.select("doc_id", F.col("lang").alias("index_name")), "doc_id")
-    best = lexical.top(scores, "doc_id", by=("query_id", "index_name"))
-    lists = [best.where(F.col("index_name") == name) for name in ("de", "en", "es", "fr")]
-    return fusion.rrf(lists, ["index_name", "doc_id"], ["query_id"])
+    return fusion.rrf_of_indexes(lexical.top(scores, "doc_id", by=("query_id", "index_name")), "index_name", "doc_id", "query_id")
 
 
 _RERANK = r"""pool AS (SELECT query_id, doc_id, rank, list_distinct(regexp_extract_all(lower(b.text), '[\p{L}\p{N}_]+')) AS q, list_distinct(tok.w) AS w FROM lx JOIN benchmark b ON b.item_id = query_id JOIN tok USING (doc_id)),
@@ -126,9 +109,9 @@ rs AS (SELECT query_id, doc_id, rank AS fused_rank, round(len(list_intersect(q,
 rk AS (SELECT *, max(score) OVER (PARTITION BY query_id) >= 0.25 AS confident, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank) AS rank FROM rs)"""
 
 
-def _reranked(spark, sf_dir, n: int = schema.TOP_N) -> DataFrame:
+def _reranked(spark, sf_dir, n: int = schema.TOP_N, words: DataFrame | None = None) -> DataFrame:
     docs, asked = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    pool = _lexical(spark, sf_dir).drop("score").join(docs.select("doc_id", "text", "source"), "doc_id").join(asked, "query_id")
+    pool = (words if words is not None else _lexical(spark, sf_dir)).drop("score").join(docs.select("doc_id", "text", "source"), "doc_id").join(asked, "query_id")
     return fusion.rerank(pool, fusion.overlap_score(F.col("query"), F.col("text")), n, 0.25)
 
 
@@ -172,7 +155,7 @@ SELECT mode, count(*) AS queries, count_if(hit = 1)::BIGINT AS hit1, count_if(hi
 def q_eval_metrics(spark, sf_dir):
     near, words, fused = _hybrid(spark, sf_dir)
     every = None
-    for mode, r in (("semantic", near), ("bm25", words), ("fused", fused), ("reranked", _reranked(spark, sf_dir))):
+    for mode, r in (("semantic", near), ("bm25", words), ("fused", fused), ("reranked", _reranked(spark, sf_dir, words=words))):
         part = r.select(F.lit(mode).alias("mode"), "query_id", "doc_id", "rank")
         every = part if every is None else every.unionByName(part)
     asked = _t(spark, sf_dir, "benchmark").select(F.explode(F.array(*[F.lit(m) for m in ("semantic", "bm25", "fused", "reranked")])).alias("mode"), F.col("item_id").alias("query_id"))
@@ -190,11 +173,11 @@ def q_document_order(spark, sf_dir):
 
 
 @_query(
-    f"""WITH {_bm25()}, {_LEX}, ev AS (SELECT item_id AS query_id, lower(left(text, 20)) AS evidence FROM benchmark)
+    f"""WITH {_bm25()}, {_LEX}, ev AS (SELECT item_id AS query_id, lower(text) AS evidence FROM benchmark)
 SELECT ev.query_id, min(rank) FILTER (contains(lower(d.text), evidence))::INTEGER AS hit FROM ev LEFT JOIN lx ON ev.query_id = lx.query_id AND rank <= 3 LEFT JOIN documents d USING (doc_id) GROUP BY ev.query_id"""
 )
 def q_passage_rank(spark, sf_dir):
-    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.left("text", F.lit(20))).alias("evidence"))
+    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("evidence"))
     ranked = _lexical(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(asked, "query_id")
     return evaluate.first_hit(ranked, F.contains(F.lower("text"), F.col("evidence")), asked, by=("query_id",))
 
@@ -287,10 +270,18 @@ def q_chunk_split(spark, sf_dir):
     return chunking.document_chunks(docs, ("doc_id", "digest", "page"))
 
 
-@_query()
+def _pack_sql(table: str, keys: str, text: str, most: int = 4000, overlap: int = 300) -> str:
+    """Rows (keys, pos, text) of paragraphs packed."""
+    return f"""SELECT {keys}, unnest(range(len(parts))) AS pos, unnest(parts) AS text FROM (SELECT {keys}, CASE WHEN length({text}) <= {most} THEN [{text}]
+ELSE list_filter(list_append(acc.done, acc.buf), lambda x: x <> '') END AS parts FROM (SELECT *, list_reduce(list_transform(string_split({text}, chr(10) || chr(10)), lambda p: {{'done': []::VARCHAR[], 'buf': p}}),
+lambda a, x: CASE WHEN a.buf = '' THEN {{'done': a.done, 'buf': x.buf}} WHEN length(a.buf) + 2 + length(x.buf) <= {most} THEN {{'done': a.done, 'buf': a.buf || chr(10) || chr(10) || x.buf}}
+ELSE {{'done': list_append(a.done, a.buf), 'buf': right(a.buf, {overlap}) || chr(10) || chr(10) || x.buf}} END) AS acc FROM {table}))"""
+
+
+@_query("SELECT doc_id, pos::INTEGER AS pos, text FROM (" + _pack_sql("(SELECT doc_id, replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) AS body FROM documents)", "doc_id", "body") + ")")
 def q_para_pack(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    return chunking.chunks(docs, ("doc_id",), "text", chunking.pack_paragraphs)
+    return chunking.paragraph_chunks(docs, ("doc_id",))
 
 
 @_query("WITH p AS (SELECT doc_id, text, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS prior FROM documents), t AS (SELECT *, right(prior, 100) AS tail FROM p) SELECT doc_id, coalesce(trim(CASE WHEN prior IS NULL THEN '' WHEN length(prior) <= 100 THEN prior WHEN instr(tail, ' ') > 0 THEN substr(tail, instr(tail, ' ') + 1) ELSE '' END, ' ' || chr(9) || chr(10) || chr(13)), '') AS tail FROM t")
@@ -365,14 +356,14 @@ def q_thread_collapse(spark, sf_dir):
 
 
 # Conversations as threads: a turn is a mail, its role the sender.
-_CONV = "cv AS (SELECT conv_id AS thread_id, conv_id || ':' || turn AS message_id, lpad(turn::VARCHAR, 6, '0') AS date, CASE WHEN turn > 0 THEN left(text, 20) ELSE '' END AS subject, text AS body, role || '@' || role || '.example' AS sender FROM conversations WHERE length(trim(text)) >= 3)"
+_CONV = "cv AS (SELECT conv_id AS thread_id, conv_id || ':' || turn AS message_id, lpad(turn::VARCHAR, 6, '0') AS date, CASE WHEN turn > 0 THEN text ELSE '' END AS subject, text AS body, role || '@' || role || '.example' AS sender FROM conversations WHERE length(trim(text)) >= 3)"
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "conversations")
     who = F.concat("role", F.lit("@"), "role", F.lit(".example"))
     return c.select(
-        F.col("conv_id").alias("thread_id"), F.concat_ws(":", "conv_id", "turn").alias("message_id"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("date"), F.when(F.col("turn") > 0, F.left("text", F.lit(20))).otherwise("").alias("subject"), F.col("text").alias("body"),
+        F.col("conv_id").alias("thread_id"), F.concat_ws(":", "conv_id", "turn").alias("message_id"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("date"), F.when(F.col("turn") > 0, F.col("text")).otherwise("").alias("subject"), F.col("text").alias("body"),
         who.alias("sender"), F.array(F.lit("all@corp.example")).alias("to"), F.array().cast("array<string>").alias("cc"), F.array(who, F.lit("all@corp.example")).alias("emails"), F.array().cast("array<string>").alias("attachment_names"), F.array(F.lit("all@corp.example")).alias("to_emails"),
     )
 
@@ -535,10 +526,14 @@ def q_star_revenue(spark, sf_dir):
     return rows.groupBy("n_name", F.year("o_orderdate").alias("year")).agg(F.sum(F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).cast("decimal(18,4)")).cast("double").alias("revenue"), F.countDistinct("o_orderkey").alias("orders"))
 
 
-@_query(rf"WITH {_TOK}, v AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(w) AS term FROM tok) GROUP BY term) SELECT 0::BIGINT AS only_first, 0::BIGINT AS only_second")
+_VOCABULARY = "SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, source, unnest(w) AS term FROM tok) {where} GROUP BY term"
+
+
+@_query(f"WITH {_TOK}, a AS ({_VOCABULARY.format(where='')}), b AS ({_VOCABULARY.format(where='WHERE source <> ' + repr('src1'))}) SELECT (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS only_first, (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS only_second")
 def q_vocabulary_copy(spark, sf_dir):
+    """A copy that lacks a source tells so by its vocabulary."""
     docs = _t(spark, sf_dir, "documents")
-    return lexical.same_vocabulary(lexical.terms(docs, "doc_id"), lexical.postings(docs, "doc_id").groupBy("term").agg(F.count("*").alias("df")))
+    return lexical.same_vocabulary(lexical.terms(docs, "doc_id"), lexical.terms(docs.where("source <> 'src1'"), "doc_id"))
 
 
 @_query(
@@ -586,7 +581,7 @@ def q_positions_for(spark, sf_dir):
     return m.where(retrieve.corresponds("K5")).select("message_id")
 
 
-@_query("SELECT doc_id, text_prefix, regexp_replace(regexp_replace(text_prefix, '(?i)^(\\s*(re|fwd?|fw)\\s*(\\[\\d+\\])?\\s*:\\s*)+', ''), '\\s+$', '') AS subject FROM (SELECT doc_id, 'RE: Fwd[2] : ' || left(replace(text, chr(10), ' '), 40) AS text_prefix FROM documents)")
+@_query(r"SELECT doc_id, regexp_replace(regexp_replace('RE: Fwd[2] : ' || replace(text, chr(10), ' '), '(?i)^(\s*(re|fwd?|fw)\s*(\[\d+\])?\s*:\s*)+', ''), '^[\s\v\x1c-\x1f\x85\p{Z}]+|[\s\v\x1c-\x1f\x85\p{Z}]+$', '', 'g') AS subject FROM documents")
 def q_normalize_subject(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("RE: Fwd[2] : "), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(40))).alias("text_prefix"))
-    return d.withColumn("subject", T.normalize_subject(F.col("text_prefix")))
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("RE: Fwd[2] : "), F.replace("text", F.lit("\n"), F.lit(" "))).alias("raw"))
+    return d.select("doc_id", T.normalize_subject(F.col("raw")).alias("subject"))

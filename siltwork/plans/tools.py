@@ -52,7 +52,7 @@ class Toolbox:
         written = mail.wrote_to(self.messages, self.own)
         scored = importance.score(mail.collapse_threads(rows).withColumn("body_preview", F.lit("")), self.rules, written)
         best = importance.digest(scored, n).orderBy(F.col("score").desc(), F.col("date").desc_nulls_last(), "message_id")
-        return "\n".join(f"{r.score} | {r.date[:10]} | {r.sender_email} | {r.subject} | {'; '.join(r.reasons)}" + (f" | {r.hidden} more" if r.hidden else "") for r in best.collect()) or "No mail."
+        return "\n".join(f"{r.score} | {(r.date or '?')[:10]} | {r.sender_email} | {r.subject} | {'; '.join(r.reasons)}" + (f" | {r.hidden} more" if r.hidden else "") for r in best.collect()) or "No mail."
 
     def web_search(self, query: str, max_results: int = 5) -> str:
         asked = self.pages.sparkSession.createDataFrame([(0, query)], "query_id long, query string")

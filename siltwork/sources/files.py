@@ -74,23 +74,24 @@ def read_docx(data: bytes) -> list[tuple[str, int]]:
     return [("\n".join(parts), 1)] if parts else []
 
 
+def _until_silence(rows: Iterator[list[str]], most: int) -> Iterator[list[str]]:
+    """Rows with content, up to the first run of more than most rows without."""
+    last = 0
+    for k, cells in enumerate(rows, 1):
+        if any(cells):
+            last = k
+            yield cells
+        elif k - last > most:
+            return
+
+
 def sheet_lines(title: str, rows: Iterator[list[str]], blank_run: int = schema.BLANK_RUN) -> list[str]:
     """A sheet as text: its first row that isn't empty names the fields of the later ones."""
-    lines, heads, blank = [f"Sheet: {title}"], None, 0
-    for cells in rows:
-        if not any(cells):
-            blank += 1
-            if blank > blank_run:
-                break
-            continue
-        blank = 0
-        if heads is None:
-            heads = cells
-            lines.append(" | ".join(filter(None, cells)))
-            continue
-        named = "; ".join(f"{h}: {v}" for h, v in zip(heads, cells, strict=False) if h and v)
-        lines.append(named or " | ".join(filter(None, cells)))
-    return lines
+    plain = lambda cells: " | ".join(c for c in cells if c)
+    content = _until_silence(rows, blank_run)
+    fields = next(content, [])
+    records = ("; ".join(": ".join(pair) for pair in zip(fields, cells, strict=False) if all(pair)) or plain(cells) for cells in content)
+    return [f"Sheet: {title}", *([plain(fields)] if fields else []), *records]
 
 
 def _place(ref: str) -> int:

@@ -98,5 +98,31 @@ def checked_reports(reports: DataFrame) -> DataFrame:
     return reports.select(report_name(F.col("filename")).alias("name"), "content", error.alias("error"))
 
 
+def write_reports(reports: DataFrame, path: str) -> DataFrame:
+    """Write the reports(filename, content) that nothing speaks against, a file each; returns (name, error) of all.
+
+    Files are written by the executors through Hadoop's file systems, one row at a time; of equal names the last in order of
+    content stays, and files of earlier calls stay if no report has their name.
+    """
+    spark = reports.sparkSession
+    checked = checked_reports(reports)
+    good = checked.where("error = ''").groupBy("name").agg(F.max("content").alias("content"))
+    # A folder for each name: Spark names the files in it itself.
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        good.select(F.col("content").alias("value"), "name").repartition("name").write.mode("overwrite").option("lineSep", "\u0000").partitionBy("name").text(path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    return checked.select("name", "error")
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(name, content) of the reports under path."""
+    rows = spark.read.option("basePath", path).schema("value string, name string").text(f"{path}/*", wholetext=True)
+    return rows.select("name", F.regexp_replace("value", "\u0000$", "").alias("content"))
+
+
 def list_reports(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length").orderBy("name")
+    """(name, length in bytes) of the reports under path, by name."""
+    return read_reports(spark, path).select("name", F.octet_length("content").cast("long").alias("length")).orderBy("name")

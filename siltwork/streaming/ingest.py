@@ -8,22 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltwork.operators.mail import store_new
+from siltwork.scratch import shared_folder
 
 MAIL = "folder string, uidvalidity bigint, uid bigint, rfc_message_id string"
 STATE = "folder string, uidvalidity bigint, last_uid bigint"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import tempfile
-
-    return "file://" + tempfile.mkdtemp(prefix="siltwork-")
-
-
 def fresh(mails: DataFrame, state: DataFrame, backfill: bool = False) -> DataFrame:
     """Mails above their folder's mark; all of a folder whose validity has changed, and all in a backfill."""
     known = state.select("folder", F.col("uidvalidity").alias("_v"), F.col("last_uid").alias("_u"))
@@ -62,15 +52,24 @@ class Mailbox:
         """Marks, from all mails kept: they need no file of their own and can't disagree with the mails."""
         return advanced(self.spark.createDataFrame([], STATE), self.mails())
 
-    def take(self, batch: DataFrame, number: int) -> None:
-        """Append what is new of a batch; safe to repeat."""
-        stored = self.mails()
-        new = store_new(batch.select("folder", "uidvalidity", "uid", "rfc_message_id"), stored)
-        new.write.mode("overwrite").parquet(f"{self.path}/mails/batch={number}")
+    def before(self, number: int) -> DataFrame:
+        """The mails of earlier batches; only their folders are listed and read."""
+        return self.spark.read.schema(f"{MAIL}, batch bigint").parquet(f"{self.path}/mails").where(F.col("batch") < number).drop("batch") if self._has("mails") else self.spark.createDataFrame([], MAIL)
+
+    def take(self, batch: DataFrame, number: int, above: bool = False, backfill: bool = False) -> None:
+        """Write what a batch adds to the earlier ones under its number; a batch that is taken again replaces itself.
+
+        With above, mails under their folder's mark are left out, but for a backfill, which reads them again.
+        """
+        stored, rows = self.before(number), batch.select("folder", "uidvalidity", "uid", "rfc_message_id")
+        if above:
+            rows = fresh(rows, advanced(self.spark.createDataFrame([], STATE), stored), backfill)
+        store_new(rows, stored).write.mode("overwrite").parquet(f"{self.path}/mails/batch={number}")
 
-    def follow(self, stream: DataFrame, checkpoint: str):
+    def follow(self, stream: DataFrame, checkpoint: str, above: bool = False, backfill: bool = False):
         """Run over all that a stream has now, batch by batch."""
-        return stream.writeStream.foreachBatch(self.take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        take = lambda batch, number: self.take(batch, number, above, backfill)
+        return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 import duckdb
 import pytest
-from conftest import SF
+from given import SF
 
 from siltwork.operators.chunking import split_text
-from siltwork.plans import catalogue
+from siltwork.plans import catalogue, catalogue_columns, catalogue_files, registry  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -20,27 +20,55 @@ def plain(v):
     return repr(round(v, 9)) if isinstance(v, float) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql(spark, db, name):
-    found = db.execute(catalogue.SQL[name])
+    found = db.execute(registry.SQL[name])
     columns = [d[0] for d in found.description]
     want = sorted(tuple(map(plain, r)) for r in found.fetchall())
-    got = catalogue.QUERIES[name](spark, SF)
+    got = registry.QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(tuple(map(plain, r)) for r in got.select(*columns).collect()) == want
 
 
+def plain_chunks(text, size=500, overlap=100):
+    """The splitter by its rules, on lists of words between separators."""
+    text = text.strip()
+    if len(text) <= size:
+        return [text] if text else []
+    for mark in ("\n\n", "\n", ". ", " "):
+        if mark in text:
+            break
+    else:
+        return [text[k : k + size] for k in range(0, len(text), size - overlap)]
+    groups, todo = [], text.split(mark)
+    while todo:
+        taken = [todo.pop(0)]
+        while todo and (len(mark.join([*taken, todo[0]])) <= size or taken == [""]):
+            taken = ([] if taken == [""] else taken) + [todo.pop(0)]
+        whole = mark.join(taken)
+        groups += plain_chunks(whole, size, overlap) if len(whole) > size else [whole] if whole else []
+    out = []
+    for k, g in enumerate(groups):
+        before = groups[k - 1] if k else ""
+        tail = before if len(before) <= overlap else before[-overlap:].partition(" ")[2]
+        out.append(f"{tail.strip()} {g}".strip() if tail.strip() else g)
+    return [g for g in out if g.strip()]
+
+
 def test_chunks_are_those_of_the_splitter(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert all(plain_chunks(t) == split_text(t) for t in texts.values())
+    odd = ["\n\n".join(["a" * 30, "", "", "b" * 700, "c d " * 90, ""]), ". ".join("x" * k for k in range(60)), " " + "y" * 1200, "\n\n\n" + "z w. " * 200]
+    assert all(plain_chunks(t, s, o) == split_text(t, s, o) for t in odd for s, o in ((500, 100), (50, 10), (20, 0 or 5)))
     got: dict = {}
     for r in catalogue.q_chunk_split(spark, SF).collect():
         got.setdefault(r.doc_id, {})[r.pos] = r.text
     assert {d: [c[k] for k in sorted(c)] for d, c in got.items()} == {d: split_text(t) for d, t in texts.items() if t.strip()}
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_other_queries_have_rows(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() > 0
+    assert registry.QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):

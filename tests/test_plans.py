@@ -1,6 +1,6 @@
 """Incremental builds and the tools."""
 
-from conftest import SF
+from given import SF
 from pyspark.sql import functions as F
 
 from siltwork.plans import catalogue, ingest

@@ -88,10 +88,13 @@ def test_splitter_keeps_all_words(size):
     assert words == [w.strip(".") for w in text.split()]
 
 
-def test_packer():
-    assert chunking.pack_paragraphs("a\n\nb", 10) == ["a\n\nb"]
-    assert chunking.pack_paragraphs("aaaa\n\nbbbb\n\ncccc", 10, 2) == ["aaaa\n\nbbbb", "bb\n\ncccc"]
-    assert chunking.pack_paragraphs("x" * 30 + "\n\ny", 10, 3) == ["x" * 30, "xxx\n\ny"]
+def test_packer(spark):
+    def packed(text, most, overlap=0):
+        return spark.createDataFrame([(text,)], "t string").select(chunking.packed_paragraphs(F.col("t"), most, overlap).alias("p")).first().p
+
+    assert packed("a\n\nb", 10) == ["a\n\nb"] and packed(None, 10) == packed("", 10) == [""]
+    assert packed("aaaa\n\nbbbb\n\ncccc", 10, 2) == ["aaaa\n\nbbbb", "bb\n\ncccc"]
+    assert packed("x" * 30 + "\n\ny", 10, 3) == ["x" * 30, "xxx\n\ny"]
 
 
 def test_records_and_lines(spark):
