@@ -94,9 +94,16 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
 
 
 def distinct_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that exact_duplicates() keeps, one of each group of equal texts, with their own columns."""
-    kept = exact_duplicates(docs, text, id_col).where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"))
+    """The rows of docs that exact_duplicates() keeps, one of each group of equal texts, with their own columns.
+
+    Of rows that repeat both the kept doc_id and its text one stays. An empty table gives an empty result, and clashing
+    names of other columns do no harm. Texts are shuffled once more, to meet the keys of the kept rows; only rows that
+    repeat are shuffled again.
+    """
+    found = exact_duplicates(docs, text, id_col)
+    times = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias("_again")).where("kept")
+    kept = Scratch(docs.sparkSession, "distinct").put(times.select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"), "_again"), "kept")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_doc"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("_hash"))
-    rows = rows.join(kept, F.col("_doc").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_sha")), "left_semi")
-    # Rows that repeat in id and text are copies of each other too.
-    return rows.dropDuplicates(["_doc", "_hash"]).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    rows = rows.join(kept, F.col("_doc").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_sha")))
+    once = rows.where("_again").dropDuplicates(["_doc", "_hash"])
+    return rows.where("not _again").unionByName(once).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
