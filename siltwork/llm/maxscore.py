@@ -59,8 +59,8 @@ class Shard:
             some = len(r) < len(ids)
             self.bounds[t] = (min(int(w.min()), 0) if some else int(w.min()), max(int(w.max()), 0) if some else int(w.max()))
 
-    def top(self, terms: np.ndarray, weights: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (ids, scores) for a query, its own row aside; ties to the smaller id."""
+    def top(self, terms: np.ndarray, weights: np.ndarray, own: int, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k best (ids, scores) for a query, its own row aside; ties to the smaller id. Rows under least may be left out."""
         query = [(t, q) for t, q in zip(terms.tolist(), weights.tolist(), strict=True) if t in self.postings]
         n = len(self.ids)
         whole = int if all(isinstance(q, int) for _, q in query) and self.high * sum(abs(q) for _, q in query) >= 2**62 else np.int64
@@ -97,7 +97,8 @@ class Shard:
             scores = acc[seen]
             if len(seen) > want:
                 floor = np.sort(scores)[-want] if whole is int else np.partition(scores, -want)[-want]
-                keep = scores + rest_high[i] >= floor + rest_low[i]
+                floor = floor + rest_low[i] if least is None else max(floor + rest_low[i], least)
+                keep = scores + rest_high[i] >= floor
                 if keep.mean() < 0.5 or live is not None:
                     live = seen[keep]
         seen = np.flatnonzero(~out) if live is None else live
@@ -113,10 +114,11 @@ def _search(k: int):
                 if held != row["part"]:
                     shard, held = Shard(*[np.frombuffer(row[c], "<i8") for c in _COLUMNS]), row["part"]
                 rows, ids, offsets, terms, weights = (np.frombuffer(row["q_" + c], "<i8") for c in _COLUMNS)
-                got = [shard.top(terms[i:j], weights[i:j], own, k) for own, i, j in zip(rows.tolist(), offsets[:-1], offsets[1:], strict=True)]
+                least = {f["query_row"]: f["least"] for f in row["floors"] or ()}
+                got = [shard.top(terms[i:j], weights[i:j], own, k, least.get(own)) for own, i, j in zip(rows.tolist(), offsets[:-1], offsets[1:], strict=True)]
                 sizes, limit = [len(g[0]) for g in got], np.iinfo(np.int64)
                 score = [min(max(int(s), limit.min), limit.max) for g in got for s in g[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows, sizes)), pa.array(np.repeat(ids, sizes), pa.int64()), pa.array(np.concatenate([g[0] for g in got]), pa.int64()), pa.array(score, pa.int64())], ["query_row", "query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * sum(sizes), pa.int64()), pa.array(np.repeat(rows, sizes)), pa.array(np.repeat(ids, sizes), pa.int64()), pa.array(np.concatenate([g[0] for g in got]), pa.int64()), pa.array(score, pa.int64())], ["block", "query_row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -142,7 +144,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     is not 0 a posting, so that a vector lacks the terms beyond its length. Vectors are dealt by hash to shards of about shard_rows. In a shard, a query's terms are sorted by
     the spread between the bounds of their contributions. Postings are traversed from the largest; the others'
     summed bounds tell which rows can still reach the k-th best, and once that leaves half of them out, the other
-    terms are only probed for those that compete. Shards' results are merged. A query's own row is left out, but not others
+    terms are only probed for those that compete. The first shard's k-th best is where the other shards' bar starts. Shards'
+    results are merged. A query's own row is left out, but not others
     that repeat its vec_id; repeated queries are answered each. Ties go to the smaller vec_id, and fewer than k rows are all returned. Shards and query blocks are joined by
     shard, so a task holds one of either.
 
@@ -155,8 +158,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     packed = lambda df, n: df.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(n))).groupBy("part")
     index = scratch.put(packed(vectors, shards).applyInArrow(_keyed, f"part bigint, {_PACKED}"), "shards")
     asked = scratch.put(packed(queries, blocks).applyInArrow(_keyed, f"part bigint, {_PACKED}"), "queries")
-    asked = asked.select(*[F.col(c).alias("q_" + c) for c in _COLUMNS], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"))
-    found = index.join(asked, "part").mapInArrow(_search(k), "query_row bigint, query_id bigint, vec_id bigint, score bigint")
+    asked = asked.select(F.col("part").alias("block"), *[F.col(c).alias("q_" + c) for c in _COLUMNS])
+    schema = "block bigint, query_row bigint, query_id bigint, vec_id bigint, score bigint"
+    none = F.lit(None).cast("array<struct<query_row:bigint,least:bigint>>").alias("floors")
+    first = F.broadcast(index.where("part = 0"))  # one row of about shard_rows vectors
+    found = scratch.put(asked.select("*", none).crossJoin(first).mapInArrow(_search(k), schema), "first")
+    if shards > 1:
+        # What the first shard finds bounds the k-th best of all from below, so the others prune from the start.
+        floors = found.groupBy("block", "query_row").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+        floors = floors.groupBy("block").agg(F.collect_list(F.struct("query_row", "least")).alias("floors"))  # query_rows of them at most
+        later = asked.join(floors, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(shards - 1).cast("long"))))
+        found = found.unionByName(index.where("part > 0").join(later, "part").mapInArrow(_search(k), schema))
     best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

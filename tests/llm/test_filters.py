@@ -35,6 +35,28 @@ def test_rules_and_aliases(spark):
     assert by[5][3] == by[14][3] == "allow" and by[15][2:] == ("com/", "allow")
 
 
+def test_links_equal_sql(spark, tmp_path):
+    """The query and its SQL over pages with canonical links and refreshes: chains, relative and odd ones."""
+    import duckdb
+
+    rnd = random.Random(6)
+    hosts = [*[f"h{k}.org" for k in range(40)], *["x.net"] * 8, "www.example.com", "example.com", "shop.com", "Y.Net:80"]
+    urls = [f"http://{rnd.choice(hosts)}{rnd.choice(['', '/', '/en/', '/es/', '/fr/x', '/p', '/p/q'])}{rnd.choice(['', str(k % 9), '?a=1', '#f'])}" for k in range(120)]
+    forms = ['<link rel="canonical" href="{}">', "<LINK href='{}' REL=canonical>", '<meta http-equiv="refresh" content="5; url={}">', "<p>{}</p>", "<link rel=canonical href={} />"]
+    link = lambda: rnd.choice([*rnd.choices(urls, k=3), "/es/1", "q", "//b.org/p", "../z", ""])
+    rows = [(k, u, None if k % 11 == 0 else "<html>" + rnd.choice(forms).format(link()) + rnd.choice(forms).format(link())) for k, u in enumerate(urls)] + [(None, None, "x"), (500, "nothing", '<link rel=canonical href="/q">'), (3, urls[3], None)]
+    rows += [(700, "http://q1.org/", '<link rel="canonical" href="http://z.net/fr/a/">'), (701, "http://z.net/fr/a", None), (702, "http://q2.org/b?c", '<meta http-equiv=refresh content="0;url=//q1.org">')]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = db.execute(queries.SQL["op1_url_filter"])
+    columns = [d[0] for d in found.description]
+    want = sorted(map(str, found.fetchall()))
+    got = queries.op1_url_filter(spark, str(tmp_path))
+    assert sorted(str(tuple(r)) for r in got.select(*columns).collect()) == want
+    assert {"rule", "alias", "default"} == {r.reason for r in got.collect()}
+
+
 def test_redirect_table_chain_and_empty(spark):
     df = pages(spark, [(k, f"http://h{k}.org/", None, None, None) for k in range(30)] + [(99, "http://b.net/es/", None, None, None)])
     hops = spark.createDataFrame([(f"http://h{k}.org/", f"http://h{k + 1}.org/") for k in range(19)] + [("http://h0.org/", "http://b.net/es/"), (None, "http://h0.org/")], "src string, dst string")
