@@ -250,8 +250,8 @@ def q_html_to_text(spark, sf_dir):
 
 
 @_query(
-    f"""WITH t AS (SELECT page_id, url, {_HTML_TEXT} AS x FROM pages) SELECT page_id, regexp_matches(url, '(?i)^https?://[^/]+') AS valid, regexp_replace(url, '^(https?://arxiv\\.org)/abs/', '\\1/html/') AS fetched,
-CASE WHEN length(x) < 1200 THEN 'SHORT PAGE' ELSE '' END AS note, CASE WHEN length(x) <= 8000 THEN x ELSE left(x, 8000) || chr(10) || chr(10) || '[... truncated, ' || length(x) || ' characters in total]' END AS text FROM t"""
+    f"""WITH t AS (SELECT page_id, url, {_HTML_TEXT} AS x FROM pages) SELECT page_id, regexp_matches(url, '(?i)^https?://[^/]+') AS valid, url AS fetched,
+CASE WHEN regexp_matches(url, '(?i)^https?://arxiv\\.org/abs/') THEN 'ABSTRACT ONLY' WHEN length(x) < 1200 THEN 'SHORT PAGE' ELSE '' END AS note, CASE WHEN length(x) <= 8000 THEN x ELSE left(x, 8000) || chr(10) || chr(10) || '[... truncated, ' || length(x) || ' characters in total]' END AS text FROM t"""
 )
 def q_read_url(spark, sf_dir):
     from siltwork.sources import web

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltwork.adapters import HashEmbedder, check_compatible
 from siltwork.functions.text import text_key
 from siltwork.operators import chunking, dedup, mail
+from siltwork.scratch import written
 from siltwork.sources import files
 from siltwork.sources.tables import ChunkTable
 
@@ -40,24 +41,23 @@ def ingest(spark: SparkSession, root: str, path: str, name: str = "documents", e
     else:
         old, manifest = old.limit(0), spark.createDataFrame([], MANIFEST)
     found = files.digested(files.discover(spark, root))
-    # Manifests are read and written at one place, so what they say is kept before they are written.
     diff = dedup.manifest_diff(found, manifest)
     states = {r["state"]: r["count"] for r in diff.groupBy("state").count().collect()}
     fresh = found.join(diff.where("state in ('new', 'changed')").select("path"), "path", "left_semi")
-    pages = files.read_documents(fresh).where("error is null").select("path", "digest", "page", "text")
+    # Files are parsed once; chunks, dates and the manifest read what that gave.
+    pages = written(files.read_documents(fresh).where("error is null").select("path", "digest", "page", "text"), "pages")
+    readable = written(pages.where(F.trim("text") != "").select("path").distinct().withColumn("read", F.lit(True)), "readable")
     dates = files.dated(fresh)
     chunks = chunking.document_chunks(pages).withColumn("text_key", text_key(F.col("text"))).drop("pos")
     kept = old.join(diff.where("state = 'unchanged'").select("path"), "path", "left_semi")
     chunks = dedup.unseen(chunks, kept.select("text_key"), "id").join(dates, "path", "left")
     chunks = chunks.select("id", "text", "path", "page", "date", "date_source", "text_key", F.element_at(F.split("path", "/"), -1).alias("source"), F.lit(name).alias("index_name"), embedder.column(F.col("text")).alias("vector"))
-    barren = fresh.select("path").join(pages.where(F.trim("text") != "").select("path").distinct(), "path", "left_anti").count()
+    barren = fresh.select("path").join(readable, "path", "left_anti").count()
     if rebuild or not table.exists() or any(states.get(s) for s in ("new", "changed", "deleted")):
-        with_text = found.select("path", "digest").join(pages.where(F.trim("text") != "").select("path").distinct().withColumn("read", F.lit(True)), "path", "left").join(manifest.select("path", "has_text"), "path", "left")
-        rows = with_text.select("path", "digest", F.coalesce("read", "has_text", F.lit(False)).alias("has_text")).collect() if found.count() <= 100_000 else None
-        table.write(table.shaped(kept).unionByName(table.shaped(_placed(chunks, _last(kept)))), embedder.signature())
-        manifest = spark.createDataFrame(rows, MANIFEST) if rows is not None else with_text.select("path", "digest", F.coalesce("read", "has_text", F.lit(False)).alias("has_text"))
+        told = found.select("path", "digest").join(readable, "path", "left").join(manifest.select("path", "has_text"), "path", "left")
         staged = f"{manifest_path}-next"
-        manifest.write.mode("overwrite").parquet(staged)
+        told.select("path", "digest", F.coalesce("read", "has_text", F.lit(False)).alias("has_text")).write.mode("overwrite").parquet(staged)
+        table.write(table.shaped(kept).unionByName(table.shaped(_placed(chunks, _last(kept)))), embedder.signature())
         spark.read.schema(MANIFEST).parquet(staged).write.mode("overwrite").parquet(manifest_path)
     return {s: states.get(s, 0) for s in ("new", "changed", "deleted", "unchanged")} | {"without_text": barren}
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltwork import schema
+from siltwork.functions.text import report_name, truncate
 from siltwork.operators import importance, mail
 from siltwork.operators.retrieve import Filters, Retriever, citation
-from siltwork.sources import web
+from siltwork.sources import tables, web
 
 
 def _number(value, default: int, most: int) -> int:
@@ -27,9 +30,13 @@ def _texts(hits: DataFrame) -> str:
     return "\n\n".join(r[0] for r in rows) or "Nothing found."
 
 
+#: Limits of numbers, by tool and argument.
+LIMITS = {("knowledge_search", "top_n"): {"minimum": 1, "maximum": 10}, ("list_mail", "limit"): {"minimum": 1, "maximum": 100}, ("web_search", "max_results"): {"minimum": 1, "maximum": 10}}
+
+
 @dataclass
 class Toolbox:
-    """Tools over a chunk table, mails and pages; a role may use some of them."""
+    """Tools over a chunk table, mails, pages and a folder of reports; a role may use some of them."""
 
     chunks: DataFrame | None = None
     messages: DataFrame | None = None
@@ -37,6 +44,7 @@ class Toolbox:
     rules: importance.Rules = field(default_factory=dict)
     own: str = ""
     roles: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    reports: str | None = None
 
     def knowledge_search(self, query: str, top_n: int = 3, source: str = "", correspondent: str = "", since: str | None = None, until: str | None = None) -> str:
         return _texts(Retriever(self.chunks).search(query, Filters(source or "", correspondent or "", since, until), top_n=_number(top_n, 3, 10)))
@@ -64,8 +72,37 @@ class Toolbox:
         rows = web.read_urls(self.pages.where(F.col("url") == url)).collect()
         return f"Content of {rows[0].fetched}:\n\n{rows[0].text}" + (f"\n\n[{rows[0].note}]" if rows[0].note else "") if rows else f"ERROR: no page at {url}"
 
+    def write_report(self, filename: str, content: str) -> str:
+        rows = self.spark.createDataFrame([(filename, content)], "filename string, content string")
+        name, error = tables.write_reports(rows, self.reports).first()
+        return f"ERROR: {error}" if error else f"Report saved to {name} ({len(content)} characters)."
+
+    def list_reports(self) -> str:
+        lines = [f"- {r.name} ({r.length} bytes)" for r in tables.list_reports(self.spark, self.reports).collect()] if tables.has_reports(self.spark, self.reports) else []
+        return "\n".join(["Saved reports:", *lines]) if lines else "No reports saved yet."
+
+    def read_report(self, filename: str) -> str:
+        name = self.spark.range(1).select(report_name(F.lit(filename))).first()[0]
+        found = tables.read_reports(self.spark, self.reports).where(F.col("name") == name) if tables.has_reports(self.spark, self.reports) else None
+        rows = found.select(truncate(F.col("content"), schema.PAGE_CHARS)).collect() if found is not None else []
+        return f"Content of {name}:\n\n{rows[0][0]}" if rows else f"ERROR: {name} not found. Use list_reports to see available files."
+
+    @property
+    def spark(self):
+        return SparkSession.getActiveSession()
+
+    def schemas(self, role: str | None = None) -> list[dict]:
+        """What a model is told of each tool: its name and the JSON Schema of its arguments, read from its signature."""
+        kinds = {"str": "string", "int": "integer", "bool": "boolean", "str | None": "string"}
+        out = []
+        for name, tool in self.tools(role).items():
+            given = inspect.signature(tool).parameters.values()
+            properties = {p.name: {"type": kinds[str(p.annotation)]} | LIMITS.get((name, p.name), {}) | ({} if p.default in (p.empty, None, "") else {"default": p.default}) for p in given}
+            out.append({"name": name, "parameters": {"type": "object", "properties": properties, "required": [p.name for p in given if p.default is p.empty]}})
+        return out
+
     def tools(self, role: str | None = None) -> dict[str, Callable[..., str]]:
-        every = {n: getattr(self, n) for n, needs in (("knowledge_search", self.chunks), ("list_mail", self.messages), ("web_search", self.pages), ("read_url", self.pages)) if needs is not None}
+        every = {n: getattr(self, n) for n, needs in (("knowledge_search", self.chunks), ("list_mail", self.messages), ("web_search", self.pages), ("read_url", self.pages), ("write_report", self.reports), ("list_reports", self.reports), ("read_report", self.reports)) if needs is not None}
         if role is None:
             return every
         if missing := [n for n in self.roles[role] if n not in every]:

@@ -117,6 +117,12 @@ def write_reports(reports: DataFrame, path: str) -> DataFrame:
     return checked.select("name", "error")
 
 
+def has_reports(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(at) and any(s.isDirectory() for s in fs.listStatus(at))
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """(name, content) of the reports under path."""
     rows = spark.read.option("basePath", path).schema("value string, name string").text(f"{path}/*", wholetext=True)

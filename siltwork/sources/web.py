@@ -10,12 +10,24 @@ from siltwork.functions.text import html_to_text, truncate
 from siltwork.operators import lexical
 
 
+#: Fixed value: where an abstract page's full text is, if it is anywhere.
+ABSTRACT, FULL = r"(?i)^(https?://arxiv\.org)/abs/", "$1/html/"
+
+
 def read_urls(pages: DataFrame) -> DataFrame:
-    """(page_id, valid, fetched, note, text): http urls only, papers' abstract pages read in full, short pages noted, long ones cut."""
-    rows = pages.select("page_id", "url", html_to_text(F.col("html")).alias("x"))
+    """(page_id, valid, fetched, note, text): http urls only; long texts are cut, short ones noted.
+
+    An abstract page gives the full text's page if pages hold that and it has text; else its own text, noted as an abstract.
+    Rows with a null url are not valid; null html is an empty, short page. Repeated full texts count as one.
+    """
+    text = html_to_text(F.col("html"))
+    rows = pages.select("page_id", "url", text.alias("own"), F.when(F.col("url").rlike(ABSTRACT), F.regexp_replace("url", ABSTRACT, FULL)).alias("better"))
+    whole = pages.where(F.col("url").rlike(r"(?i)^https?://arxiv\.org/html/")).select(F.col("url").alias("better"), text.alias("whole")).where("whole <> ''").groupBy("better").agg(F.max("whole").alias("whole"))
+    rows = rows.join(whole, "better", "left").withColumn("x", F.coalesce("whole", "own"))
+    note = F.when(F.col("better").isNotNull() & F.col("whole").isNull(), "ABSTRACT ONLY").when(F.length("x") < schema.SHORT_PAGE, "SHORT PAGE").otherwise("")
     return rows.select(
-        "page_id", F.col("url").rlike("(?i)^https?://[^/]+").alias("valid"), F.regexp_replace("url", r"^(https?://arxiv\.org)/abs/", "$1/html/").alias("fetched"),
-        F.when(F.length("x") < schema.SHORT_PAGE, "SHORT PAGE").otherwise("").alias("note"), truncate(F.col("x"), schema.PAGE_CHARS).alias("text"),
+        "page_id", F.coalesce(F.col("url").rlike("(?i)^https?://[^/]+"), F.lit(False)).alias("valid"), F.when(F.col("whole").isNotNull(), F.col("better")).otherwise(F.col("url")).alias("fetched"),
+        note.alias("note"), truncate(F.col("x"), schema.PAGE_CHARS).alias("text"),
     )
 
 
