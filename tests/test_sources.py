@@ -222,3 +222,17 @@ def test_small_plans(spark):
     assert sorted((r.pos, r.copies) for r in kept.collect()) == [(1, 2), (3, 1)] and sorted(r.pos for r in dedup.collapse_duplicates(kept.drop("copies", "text_key"), "pos").collect()) == [1, 3]
     with pytest.raises(ValueError, match="nothing"):
         dedup.clean_index(rows.withColumn("source", F.lit("x.key")), ("*.key",), "pos")
+
+
+@pytest.mark.parametrize("splits", [0, 1000])
+def test_mbox_in_splits(spark, tmp_path, monkeypatch, splits):
+    """One file read in many splits gives the same mails and places as its text says; bytes of any charset stay."""
+    monkeypatch.setattr(rfc822, "SPLITS", splits)
+    mails = [b"From x Thu\nMessage-ID: <%d@x>\nContent-Type: text/plain; charset=latin-1\n\nbody %d \xe9\n>From here\n%s\n" % (k, k, b"y" * (k * 37 % 900)) for k in range(300)]
+    (tmp_path / "box.mbox").write_bytes(b"".join(mails))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = sorted((r.uid, r.message_id, r.body_text.split("\n")[:2]) for r in rfc822.read_mbox(spark, str(tmp_path / "box.mbox")).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(k + 1, f"<{k}@x>", [f"body {k} é", "From here"]) for k in range(300)]
