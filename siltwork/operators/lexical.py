@@ -9,6 +9,9 @@ from siltwork import schema
 from siltwork.functions.text import tokenize
 from siltwork.scratch import written
 
+#: Scores are rounded to six digits later. The share of postings up to which bounds are worth their steps.
+MARGIN, PAYS = 1e-5, 0.4
+
 
 def lengths(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, tokens, length)."""
@@ -48,15 +51,17 @@ def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
     return queries.select(F.col(query).alias("query_id"), F.explode(tokenize(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, key: str, query: str, text: str = "text", query_text: str = "text", within: Column | None = None, k: int | None = None) -> DataFrame:
+def bm25_scores(docs: DataFrame, queries: DataFrame, key: str, query: str, text: str = "text", query_text: str = "text", within: Column | None = None, k: int | None = None, pays: float = PAYS) -> DataFrame:
     """(query_id, key, score) of the pairs that share a term; within filters docs before they are scored, not the statistics.
 
     Texts are cut into tokens once: postings of the queries' terms are written, and the statistics are seen on the way.
     The queries' terms are broadcast by Spark if small, else joined by sort-merge.
 
-    With k, only pairs are scored that may be among a query's k best. The k-th best weight of any one term bounds the k-th
+    With k, pairs are left out that can't be among a query's k best. The k-th best weight of any one term bounds the k-th
     best score from below; terms whose largest weights together stay under that can't lift a text by themselves, so texts
-    that have no other term of the query, as those that only share stop words, are never paired with it.
+    that have no other term of the query, as those that only share stop words, are never paired with it, and most others
+    drop out by what they have so far. Where the needed terms' postings are more than the share `pays` of all, every pair
+    is scored at once, which gives the same best rows sooner.
     """
     asked = query_terms(queries, query, query_text)
     seen = Observation()
@@ -72,17 +77,27 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str, query: str, text:
     scored = own.join(df, "term").select(key, "term", w.alias("w"))
     if k is None:
         return scored.join(asked, "term").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
-    scored = written(scored, "weights")
     best = Window.partitionBy("term").orderBy(F.col("w").desc())
-    bounds = scored.select("term", "w").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-    bounds = bounds.groupBy("term").agg(F.max("w").alias("most"), F.max(F.when(F.col("r") == k, F.col("w"))).alias("kth"))
+    bounds = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("term").agg(F.max("w").alias("most"), F.max(F.when(F.col("r") == k, F.col("w"))).alias("kth"))
     of_query = Window.partitionBy("query_id")
-    rated = asked.join(bounds, "term").withColumn("most", F.col("most") * F.col("qf")).withColumn("floor", F.max(F.coalesce(F.col("kth") * F.col("qf"), F.lit(0.0))).over(of_query))
+    rated = asked.join(bounds, "term").join(df, "term").withColumn("most", F.col("most") * F.col("qf")).withColumn("floor", F.max(F.coalesce(F.col("kth") * F.col("qf"), F.lit(0.0))).over(of_query))
     upto = F.sum("most").over(of_query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # A margin for rounding, which could make a text equal to the k-th.
-    rated = written(rated.withColumn("needed", upto >= F.col("floor") - 1e-5).select("query_id", "term", "qf", "needed"), "query-terms")
-    pairs = scored.join(rated.where("needed").select("query_id", "term"), "term").select("query_id", key).distinct()
-    return pairs.join(scored, key).join(rated, ["query_id", "term"]).groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+    rated = written(rated.withColumn("needed", upto >= F.col("floor") - MARGIN), "query-terms")
+    work = rated.agg(F.sum("df").alias("all"), F.sum(F.when(F.col("needed"), F.col("df"))).alias("needed")).first()
+    if (work["needed"] or 0) > pays * (work["all"] or 0):
+        return scored.join(asked, "term").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+    scored = written(scored, "weights")
+    partial = scored.join(rated.where("needed").select("query_id", "term", "qf"), "term").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qf")).alias("partial"))
+    partial = written(partial, "partial")
+    # The k-th best of these is a better bar; what a text lacks still can't be more than the other terms' largest weights.
+    ranked = partial.withColumn("r", F.row_number().over(of_query.orderBy(F.col("partial").desc()))).where(F.col("r") <= k)
+    bar = ranked.groupBy("query_id").agg(F.max(F.when(F.col("r") == k, F.col("partial"))).alias("bar"))
+    rest = rated.groupBy("query_id").agg(F.sum(F.when(~F.col("needed"), F.col("most")).otherwise(0.0)).alias("rest"))
+    pairs = written(partial.join(bar.join(rest, "query_id"), "query_id").where(F.col("bar").isNull() | (F.col("partial") + F.col("rest") >= F.col("bar") - MARGIN)).select("query_id", key, "partial"), "pairs")
+    more = pairs.select("query_id", key).join(rated.where("not needed").select("query_id", "term", "qf"), "query_id").join(scored, [key, "term"])
+    more = more.groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qf")).alias("more"))
+    return pairs.join(more, ["query_id", key], "left").select("query_id", key, (F.col("partial") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 def top(scores: DataFrame, key: str, k: int = schema.TOP_K, *, by: tuple[str, ...] = ("query_id",), digits: int | None = 6) -> DataFrame:

@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 from given import SF
+from pyspark.sql import functions as F
 
+from siltwork.operators import lexical
 from siltwork.operators.chunking import split_text
 from siltwork.plans import catalogue, catalogue_columns, catalogue_files, registry  # noqa: F401
 
@@ -76,3 +78,20 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("k", [1, 3, 10])
+def test_bounds_keep_the_best(spark, k):
+    """Bounds leave out pairs, never one of the k best, whether texts share rare or common words."""
+    import random
+
+    rnd = random.Random(k)
+    words = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(4000)]
+    docs = spark.createDataFrame([(d, " ".join(rnd.choices(words, k=rnd.randrange(0, 60)))) for d in range(300)] + [(900, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, " ".join(rnd.choices(words, k=rnd.randrange(1, 9)))) for q in range(25)] + [(50, None)], "q long, text string")
+    every = lexical.bm25_scores(docs, asked, "doc_id", "q")
+    some = lexical.bm25_scores(docs, asked, "doc_id", "q", k=k, pays=1.0)
+    rows = lambda s: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 5)) for r in lexical.top(s, "doc_id", k).collect())
+    assert rows(some) == rows(every) and some.count() < every.count()
+    within = F.col("doc_id") % 3 == 0
+    assert rows(lexical.bm25_scores(docs, asked, "doc_id", "q", within=within, k=k, pays=1.0)) == rows(lexical.bm25_scores(docs, asked, "doc_id", "q", within=within))
