@@ -100,6 +100,21 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str, query: str, text:
     return pairs.join(more, ["query_id", key], "left").select("query_id", key, (F.col("partial") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
+def bm25_scores_by(docs: DataFrame, queries: DataFrame, key: str, query: str, by: str, text: str = "text", query_text: str = "text", within: Column | None = None) -> DataFrame:
+    """(query_id, by, key, score) as bm25_scores() has it, with the statistics of each value of by: many indexes in one plan."""
+    asked = query_terms(queries, query, query_text)
+    rows = docs.select(F.col(key), F.col(by), tokenize(F.col(text)).alias("tokens")).withColumn("length", F.size("tokens"))
+    stats = rows.groupBy(by).agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("average"))
+    own = rows.select(key, by, "length", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    own = written(own.groupBy(key, by, "term", "length").agg(F.count("*").alias("tf")), "postings")
+    df = own.groupBy(by, "term").agg(F.count("*").alias("df"))
+    if within is not None:
+        own = own.join(docs.where(within).select(key, by), [key, by], "left_semi")
+    w = weight(F.col("tf"), F.col("length"), F.col("average"), idf(F.col("n"), F.col("df")))
+    scored = own.join(df, [by, "term"]).join(stats, by).select(key, by, "term", w.alias("w"))
+    return scored.join(asked, "term").groupBy("query_id", by, key).agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
+
+
 def top(scores: DataFrame, key: str, k: int = schema.TOP_K, *, by: tuple[str, ...] = ("query_id",), digits: int | None = 6) -> DataFrame:
     """The k best of each query with their rank; ties go to the smaller key. Scores are rounded first, so that ranks repeat."""
     score = F.round("score", digits) if digits is not None else F.col("score")

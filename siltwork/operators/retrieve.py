@@ -103,31 +103,23 @@ class Filters:
 
 
 class Retriever:
-    """Searches several indexes of one chunk table: dense and lexical top-k, fused in each index, then over all."""
+    """Searches all indexes of one chunk table in one plan: dense and lexical top-k, fused in each index, then over all."""
 
     def __init__(self, chunks: DataFrame, embedder: HashEmbedder | None = None) -> None:
         self.chunks, self.embedder = chunks, embedder or HashEmbedder()
 
-    def indexes(self) -> list[str]:
-        return sorted(r[0] for r in self.chunks.select("index_name").distinct().collect())
-
     def search(self, query: str, filters: Filters | None = None, top_k: int = schema.TOP_K, top_n: int = schema.TOP_N, rerank: bool = True, boost: float = 0.0, weights: DataFrame | None = None) -> DataFrame:
         """Hits of one query with rank, score, in_semantic, in_bm25, weak and kind."""
         spark: SparkSession = self.chunks.sparkSession
         asked = spark.createDataFrame([(0, query)], "qid bigint, qtext string")
         vectors = asked.select("qid", self.embedder.column(F.col("qtext")).alias("vector"))
         keep = (filters or Filters()).column(self.chunks.columns)
-        lists, semantic, words = [], [], []
-        for name in self.indexes():
-            own = self.chunks.where(F.col("index_name") == name)
-            near = dense.dense_topk(own, vectors, top_k, "pos", "vector", "qid", within=keep & F.col("vector").isNotNull()).withColumn("index_name", F.lit(name))
-            word = lexical.top(lexical.bm25_scores(own, asked, "pos", "qid", "text", "qtext", within=keep), "pos", top_k).withColumn("index_name", F.lit(name))
-            semantic.append(near)
-            words.append(word)
-            lists.append(fusion.rrf([near, word], ["index_name", "pos"], ["query_id"]))
-        pool = max(top_k * len(lists), top_n)
-        fused = fusion.rrf(lists, ["index_name", "pos"], ["query_id"]).where(F.col("rank") <= pool)
-        flags = [_union(x).select("index_name", "pos").distinct().withColumn(f, F.lit(True)) for x, f in ((semantic, "in_semantic"), (words, "in_bm25"))]
+        near = dense.dense_topk(self.chunks, vectors, top_k, "pos", "vector", "qid", within=keep & F.col("vector").isNotNull(), by="index_name")
+        words = lexical.top(lexical.bm25_scores_by(self.chunks, asked, "pos", "qid", "index_name", "text", "qtext", within=keep), "pos", top_k, by=("query_id", "index_name"))
+        own = fusion.rrf([near, words], ["pos"], ["query_id", "index_name"])
+        indexes = self.chunks.agg(F.countDistinct("index_name").alias("n")).first()["n"]
+        fused = fusion.rrf_of_indexes(own, "index_name", "pos", "query_id").where(F.col("rank") <= max(top_k * indexes, top_n))
+        flags = [x.select("index_name", "pos").distinct().withColumn(f, F.lit(True)) for x, f in ((near, "in_semantic"), (words, "in_bm25"))]
         rows = fused.drop("score").join(self.chunks, ["index_name", "pos"])
         if rerank:
             hits = fusion.rerank(rows, fusion.overlap_score(F.lit(query), F.col("text")), top_n)
@@ -143,13 +135,6 @@ class Retriever:
         )
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0].select("index_name", "pos")
-    for p in parts[1:]:
-        out = out.unionByName(p.select("index_name", "pos"))
-    return out
-
-
 def citation(source: Column, page: Column, kind: Column, date: Column, score: Column) -> Column:
     """How a hit is named to its reader."""
     where = F.when(kind == "mail", F.concat(F.lit("mail, message "), page)).when(kind == "attachment", F.concat(F.lit("attachment, p. "), page)).otherwise(F.concat(F.lit("p. "), page))

@@ -205,7 +205,7 @@ def test_imap_box(monkeypatch):
 
 def test_attachment_files(spark, tmp_path):
     parts = b"From: a@b\nMessage-ID: <../../m@x>\nContent-Type: multipart/mixed; boundary=b\n\n" + b"".join(b'--b\nContent-Type: text/x\nContent-Disposition: attachment; filename="../../e.txt"\n\nbody%d\n' % k for k in (1, 2)) + b"--b--\n"
-    rows = spark.createDataFrame([(1, raw), (2, parts), (3, None), (4, b"")], "k long, content binary")
+    rows = spark.createDataFrame([(1, MAIL), (2, parts), (3, None), (4, b"")], "k long, content binary")
     found = rfc822.attachments(rows, keep=("k",))
     done = sorted((r.saved_path, r.size_bytes) for r in rfc822.save_attachments(found.where("k = 2"), str(tmp_path)).collect())
     assert done == [("_.._.._m_x_/1-e.txt", 5), ("_.._.._m_x_/e.txt", 5)]
@@ -236,3 +236,16 @@ def test_mbox_in_splits(spark, tmp_path, monkeypatch, splits):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == [(k + 1, f"<{k}@x>", [f"body {k} é", "From here"]) for k in range(300)]
+
+
+def test_odd_vectors(spark):
+    """Vectors with nulls, NaN or another length meet no query and end nothing."""
+    from siltwork.operators import dense
+
+    rows = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [float("nan"), 1.0]), (4, None), (5, [None, 1.0]), (6, [1.0, 2.0, 3.0]), (7, []), (None, [1.0, 1.0]), (8, [float("inf"), 0.0]), (2, [0.5, 0.5])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in dense.dense_topk(v, v.where("vec_id in (1, 3, 6)"), 5).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 1, 1.0), (1, 2, 2, 0.5), (1, 3, 2, 0.5), (6, 1, 6, 14.0)]
+    assert dense.dense_topk(v.limit(0), v, 3).count() == dense.dense_topk(v, v.limit(0), 3).count() == 0
+    parts = dense.dense_topk(v.withColumn("p", F.when(F.col("vec_id") == 1, "a").otherwise("b")), v.where("vec_id = 1"), 1, by="p").collect()
+    assert sorted((r.p, r.vec_id, r["rank"]) for r in parts) == [("a", 1, 1), ("b", 2, 1)]
