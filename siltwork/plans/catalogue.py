@@ -264,7 +264,40 @@ def q_truncate(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), schema.SNIPPET).alias("text"))
 
 
-@_query()
+def _strip_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^[\s\v\x1c-\x1f\x85\p{{Z}}]+|[\s\v\x1c-\x1f\x85\p{{Z}}]+$', '', 'g')"
+
+
+def _tail_of_sql(x: str, n: int) -> str:
+    """The last n characters from the first whole word on."""
+    return f"CASE WHEN {x} IS NULL THEN '' WHEN length({x}) <= {n} THEN {_strip_sql(x)} WHEN instr(right({x}, {n}), ' ') > 0 THEN {_strip_sql(f'''substr(right({x}, {n}), instr(right({x}, {n}), ' ') + 1)''')} ELSE '' END"
+
+
+def _split_sql(size: int, overlap: int, levels: int = 5) -> str:
+    """The splitter as a recursive query: pieces go down level by level, and tails come up again, a window for each level."""
+    sep = "CASE WHEN contains(t, chr(10) || chr(10)) THEN chr(10) || chr(10) WHEN contains(t, chr(10)) THEN chr(10) WHEN contains(t, '. ') THEN '. ' WHEN contains(t, ' ') THEN ' ' ELSE '' END"
+    step = f"""CASE WHEN length(CASE WHEN a.open = '' THEN x.open ELSE a.open || sep || x.open END) <= {size} THEN {{'done': a.done, 'open': CASE WHEN a.open = '' THEN x.open ELSE a.open || sep || x.open END}}
+WHEN length(x.open) <= {size} THEN {{'done': CASE WHEN a.open = '' THEN a.done ELSE list_append(a.done, a.open) END, 'open': x.open}}
+ELSE {{'done': list_append(CASE WHEN a.open = '' THEN a.done ELSE list_append(a.done, a.open) END, x.open), 'open': ''}} END"""
+    packed = f"list_reduce(list_prepend({{'done': []::VARCHAR[], 'open': ''}}, list_transform(string_split(t, sep), lambda p: {{'done': []::VARCHAR[], 'open': p}})), lambda a, x: {step})"
+    windows = f"list_transform(range(0, length(t), {size - overlap}), lambda i: substr(t, i + 1, {size}))"
+    cut = f"""SELECT doc_id, path, sep, CASE WHEN sep = '' THEN {windows} ELSE list_filter(list_append(r.done, r.open), lambda c: c <> '') END AS parts FROM (SELECT *, CASE WHEN sep = '' THEN {{'done': []::VARCHAR[], 'open': ''}} ELSE {packed} END AS r FROM (SELECT *, {sep} AS sep FROM ({{source}})))"""
+    # Pieces too long are cut at the next level; a hard cut's windows are final.
+    rec = f"""WITH RECURSIVE docs AS (SELECT doc_id, {_strip_sql("coalesce(text, '')")} AS t FROM documents),
+node(doc_id, path, t, long, hard) AS (SELECT doc_id, '', t, length(t) > {size}, false FROM docs WHERE t <> ''
+UNION ALL SELECT doc_id, path || '/' || lpad(k::VARCHAR, 7, '0'), CASE WHEN length(c) > {size} THEN {_strip_sql('c')} ELSE c END, length({_strip_sql('c')}) > {size}, sep = '' FROM (SELECT doc_id, path, sep, unnest(parts) AS c, generate_subscripts(parts, 1) AS k FROM ({cut.replace('{source}', 'SELECT doc_id, path, t FROM node WHERE long')}))),
+s{levels} AS (SELECT doc_id, path, hard, t FROM node WHERE NOT long)"""
+    for level in range(levels - 1, -1, -1):
+        # Leaves below a node of this level get the tail of the one before them there.
+        depth = 8 * level
+        rec += f""",
+s{level} AS (SELECT doc_id, path, hard, CASE WHEN length(path) > {depth} AND tail <> '' AND NOT (hard AND length(path) = {depth + 8}) THEN {_strip_sql("tail || ' ' || t")} ELSE t END AS t FROM (SELECT *, {_tail_of_sql('before', overlap)} AS tail FROM (SELECT *, lag(t) OVER (PARTITION BY doc_id, left(path, {depth}), length(path) > {depth} ORDER BY path) AS before FROM s{level + 1})))"""
+    return rec + f""",
+o AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS pos FROM s0 WHERE {_strip_sql('t')} <> '')
+SELECT doc_id, sha256(text) AS digest, 1::INTEGER AS page, pos::INTEGER AS pos, o.t AS text, left(sha256(sha256(text) || ':1:' || pos), 16) AS id FROM o JOIN documents USING (doc_id)"""
+
+
+@_query(_split_sql(schema.CHUNK_SIZE, schema.CHUNK_OVERLAP))
 def q_chunk_split(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.lit(1).alias("page"), "text")
     return chunking.document_chunks(docs, ("doc_id", "digest", "page"))
