@@ -67,6 +67,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
         at = at.join(few, F.col("key") == F.col("odd"), "left").select("row", "n", "at", *head, "key", F.when(F.col("odd").isNotNull(), F.col("block")).alias("block"))
         at = at.join(names.withColumnRenamed("block", "whole"), "key").where(F.col("whole").isNull() | (F.col("whole") == F.col("block")))
     at = scratch.put(at.select("row", "n", "at", "doc", "sha", "name"), "level-0")
+    scratch.keep("level-0")
 
     whole = [at.where("n = 1").select("row", "doc", "sha", F.lit(0).alias("level"), "name")]
     most, level = at.agg(F.max("n")).first()[0] or 1, 0
