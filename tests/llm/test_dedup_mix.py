@@ -64,7 +64,7 @@ def test_jaccard_odd(odd, none, width, percent):
     assert jaccard.similar_documents(none, width=width, percent=percent).count() == 0
 
 
-@pytest.mark.parametrize("limit", [300, 1500, 1 << 20])
+@pytest.mark.parametrize("limit", [500, 1 << 20])
 def test_jaccard_near_copies(spark, monkeypatch, limit):
     """Chains of edits, a shared passage, and a cluster that is dealt in several parts."""
     rnd = random.Random(5)
