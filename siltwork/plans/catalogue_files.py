@@ -17,6 +17,10 @@ from siltwork.scratch import shared_folder
 from siltwork.sources import files, rfc822, tables
 
 
+#: Mails of a dump's array, at most.
+DUMP_ROWS = 10_000
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/siltwork/{name}-{uuid.uuid4().hex}"
 
@@ -171,12 +175,14 @@ def q_mbox(spark, sf_dir):
 
 @query("SELECT 'd' || conv_id || '-' || turn AS message_id, role AS subject, CASE WHEN turn % 2 = 0 THEN '2024-05-06 07:08:09' END AS date, coalesce(text, '') AS body FROM conversations")
 def q_dump(spark, sf_dir):
-    """Mails as a JSON array; fields may be missing and dates unreadable."""
+    """Mails as JSON arrays; fields may be missing and dates unreadable."""
     root = _folder(spark, "dump")
     c = table(spark, sf_dir, "conversations")
     one = F.struct(F.concat(F.lit("d"), "conv_id", F.lit("-"), "turn").alias("message_id"), F.col("role").alias("subject"), F.when(F.col("turn") % 2 == 0, "2024-05-06T07:08:09").otherwise("no day").alias("date"), F.coalesce("text", F.lit("")).alias("body_text"))
-    c.groupBy((F.col("conv_id") % 4).alias("part")).agg(F.to_json(F.collect_list(one)).alias("value")).select("value").repartition(4).write.text(root)
-    return rfc822.read_dump(spark, root).where("message_id is not null").select("message_id", "subject", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), F.col("body_text").alias("body"))
+    part = F.floor(F.monotonically_increasing_id() / DUMP_ROWS)
+    parts = c.select(part.alias("part"), one.alias("mail")).groupBy("part").agg(F.to_json(F.collect_list("mail")).alias("value"))
+    parts.write.partitionBy("part").text(root)  # a file of its own for each array: a reader takes one from a file
+    return rfc822.read_dump(spark, root).select("message_id", "subject", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), F.col("body_text").alias("body"))
 
 
 def _chunks(docs: DataFrame) -> DataFrame:

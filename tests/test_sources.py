@@ -249,3 +249,14 @@ def test_odd_vectors(spark):
     assert dense.dense_topk(v.limit(0), v, 3).count() == dense.dense_topk(v, v.limit(0), 3).count() == 0
     parts = dense.dense_topk(v.withColumn("p", F.when(F.col("vec_id") == 1, "a").otherwise("b")), v.where("vec_id = 1"), 1, by="p").collect()
     assert sorted((r.p, r.vec_id, r["rank"]) for r in parts) == [("a", 1, 1), ("b", 2, 1)]
+
+
+def test_dump_keeps_every_array(spark, tmp_path, monkeypatch):
+    """Arrays that one task writes don't share a file, and a mail without an id stays."""
+    from siltwork.plans import catalogue_files
+
+    monkeypatch.setattr(catalogue_files, "DUMP_ROWS", 3)
+    rows = [(None if k == 7 else k // 5, k, "user", f"t{k}") for k in range(40)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [(r.message_id, r.body) for r in catalogue_files.q_dump(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(((f"d{c}-{t}" if c is not None else None, x) for c, t, _, x in rows), key=str)
