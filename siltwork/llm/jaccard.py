@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltwork.llm.common import Scratch, connected_components, parallelism
@@ -18,10 +18,14 @@ from siltwork.llm.words import mix, text_runs, word_hashes
 LEAST, MOST = 1 << 16, 1 << 20
 #: Points of a leaf, and about how many members a large group is first compared with.
 LEAF, PIVOTS = 32, 16
+#: Sets of a cell up to which its pairs are counted; a larger one is a star.
+PAIRED = 64
 #: Up to so many keys (8 bytes each) go to all executors to leave other texts out of a shuffle; beyond, all texts are shuffled.
 KEYS = 1 << 20
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _WHOLE = _SEEDS[11]
+#: What is added to a number of either sign to keep it above 0 in 32 bits.
+_MIDDLE = 1 << 31
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -69,15 +73,26 @@ class Directory:
         return n * (100 - self.percent) // 100
 
     def lookups(self, shingles: np.ndarray) -> list[tuple[np.ndarray, int]]:
-        """(coordinates, code) in either directory; code >> 1 is how many of the shared ones come first, less their number."""
-        first = self.may_lack(len(shingles)) + 1
+        """(coordinates, code) in either directory; code holds the set's size, how many of the shared ones come first less their number, and the directory."""
+        n = len(shingles)
+        first = self.may_lack(n) + 1
         held = shingles[: np.searchsorted(shingles, self.limit, "right")]
-        out = [(held, (first - len(held)) * 2)]
+        code = lambda looked, which: n << 33 | (first - looked + _MIDDLE) << 1 | which
+        out = [(held, code(len(held), 0))]
         if len(held) < first:
-            out.append((mix(shingles ^ _WHOLE), (first - len(shingles)) * 2 + 1))
+            out.append((mix(shingles ^ _WHOLE), code(n, 1)))
         return out
 
 
+def _size(code: Column) -> Column:
+    return F.shiftright(code, 33)
+
+
+def _first(code: Column) -> Column:
+    """How many of a set's shared coordinates come first, less their number."""
+    return F.shiftright(code, 1).bitwiseAND(F.lit(2 * _MIDDLE - 1)) - _MIDDLE
+
+
 def _signed(width: int, percent: int):
     """Row number, size, digest and coordinates to look up of each text; of equal sets in a task only the first looks up."""
 
@@ -239,18 +254,41 @@ def _verified(width: int, percent: int):
     return run
 
 
-def _clusters(signed: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+def _paired(cells: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): the pairs of cells(h, id, code) that may link by their sizes and by how many coordinates they share.
+
+    Of two sets the one whose first coordinates end first has all those of them that are common in both, so it lacks the
+    others. It may lack as many as its size is above the overlap that a link of the two needs.
+    """
+    members = cells.groupBy("h").agg(F.collect_set(F.struct("id", "code")).alias("all"))
+    near = lambda a, b: (F.least(_size(a["code"]), _size(b["code"])) * 100 >= F.greatest(_size(a["code"]), _size(b["code"])) * percent)
+    pairs = members.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda b: (b["id"] > F.col("a")["id"]) & near(F.col("a"), b))).alias("b"))
+    pairs = pairs.groupBy(F.col("a.id").alias("src"), F.col("a.code").alias("a"), F.col("b.id").alias("dst"), F.col("b.code").alias("b")).agg(F.count(F.lit(1)).alias("common"))
+
+    def least(code: str) -> Column:
+        """Of a set's first coordinates, the common ones less the overlap; one that looks all up has no such bound."""
+        lack = F.expr(f"shiftright({code}, 33) * {100 - percent} div 100")
+        return F.when(_first(F.col(code)) <= 0, lack + 1 - _size(F.col(code)))
+
+    overlap = F.ceil(percent * (_size(F.col("a")) + _size(F.col("b"))) / (100 + percent))
+    # Two sets that both look all up meet in the directory of such sets.
+    return pairs.where(F.col("common") >= F.least(least("a"), least("b")) + overlap).select("src", "dst")
+
+
+def _clusters(signed: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(cluster, member, doc, th, n, digest) of the classes whose root bound leaves them, by the coordinates they share."""
     looked = signed.where("part is not null").select("id", "part", "part_code", "whole", "whole_code").mapInArrow(_spread, "h bigint, id bigint, code bigint")
     shared = scratch.put(looked.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     of_set = Window.partitionBy("id", "code")
     # Rare coordinates come first. Those of one set alone are before all of these and shared with none.
     ranked = looked.join(shared.hint("shuffle_hash"), "h").withColumn("rank", F.dense_rank().over(of_set.orderBy("df", "h")))
-    ranked = ranked.withColumn("of", F.max("rank").over(of_set)).where(F.col("rank") <= F.shiftright("code", 1) + F.col("of"))
-    cells = scratch.put(ranked.select("h", "id"), "cells")
-    hubs = scratch.put(cells.groupBy("h").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("h", "hub"), "hubs")
-    stars = cells.join(hubs, "h").where("id <> hub").select(F.col("id").alias("src"), F.col("hub").alias("dst")).distinct()
-    found = connected_components(stars, scratch, "candidates").select(F.col("node").alias("id"), F.col("comp").alias("cluster"))
+    ranked = ranked.withColumn("of", F.max("rank").over(of_set)).where(F.col("rank") <= _first(F.col("code")) + F.col("of"))
+    cells = scratch.put(ranked.select("h", "id", "code").dropDuplicates(["id", "code", "h"]), "cells")
+    hubs = scratch.put(cells.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("h", "k", "hub"), "hubs")
+    cells = cells.join(hubs, "h")
+    stars = cells.where(F.col("k") > PAIRED).where("id <> hub").select(F.col("id").alias("src"), F.col("hub").alias("dst")).distinct()
+    pairs = _paired(cells.where(F.col("k") <= PAIRED).select("h", "id", "code"), percent)
+    found = connected_components(stars.unionByName(pairs), scratch, "candidates").select(F.col("node").alias("id"), F.col("comp").alias("cluster"))
     members = scratch.put(classes.join(found, "id").select("cluster", F.col("row").alias("member"), "doc", "th", "n", "digest"), "members")
     scratch.drop("shared", "cells", "hubs")
     return members
@@ -318,7 +356,7 @@ def _components(docs: DataFrame, text: str, id_col: str, width: int, percent: in
     # The member that stands for a set is a row with its smallest id.
     head = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "th", "row", "n", "id")).alias("head"))
     classes = scratch.put(head.select("digest", "head.doc", "head.th", "head.row", "head.n", "head.id"), "classes")
-    members = _clusters(signed, classes, scratch)
+    members = _clusters(signed, classes, percent, scratch)
     rows = scratch.put(rows.drop("id"), "rows")
     scratch.drop("signed")
     links = _links(texts, members, width, percent, scratch)

@@ -196,3 +196,21 @@ def test_budgets_nest(spark):
     df = spark.createDataFrame([(k, "a b c " * (k % 5 + 1), "s") for k in range(200)], "doc_id long, text string, source string")
     small, large = ({r.doc_id for r in mixing.mix(df, budget=b).collect() if r.taken} for b in (0.3, 0.6))
     assert small < large
+
+
+def test_passages_shared_by_unlike_texts_make_no_cluster(spark):
+    """A chain of texts that each share a passage with the next is no candidate; their near copies are."""
+    from siltwork.llm import jaccard
+
+    own = lambda k, n: [f"w{k}-{i}" for i in range(n)]
+    texts = [" ".join([*own(k, 60), *own(k + 1, 60)]) for k in range(120)]
+    near = [" ".join([*texts[k].split()[:-1], "else"]) for k in range(0, 120, 10)]
+    docs = spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string")
+    seen, plain = [], jaccard._links
+    jaccard._links = lambda t, members, *a: seen.append(members.groupBy("cluster").count().agg({"count": "max"}).first()[0]) or plain(t, members, *a)
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard.similar_documents(docs, width=4, percent=85).collect()}
+    finally:
+        jaccard._links = plain
+    assert got == {k: k for k in range(120)} | {120 + k: 10 * k for k in range(12)}
+    assert max(seen) <= 4  # before, all of them were one
