@@ -23,7 +23,9 @@ def read_urls(pages: DataFrame) -> DataFrame:
     text = html_to_text(F.col("html"))
     rows = pages.select("page_id", "url", text.alias("own"), F.when(F.col("url").rlike(ABSTRACT), F.regexp_replace("url", ABSTRACT, FULL)).alias("better"))
     whole = pages.where(F.col("url").rlike(r"(?i)^https?://arxiv\.org/html/")).select(F.col("url").alias("better"), text.alias("whole")).where("whole <> ''").groupBy("better").agg(F.max("whole").alias("whole"))
-    rows = rows.join(whole, "better", "left").withColumn("x", F.coalesce("whole", "own"))
+    # Only abstract pages are joined: all others have no key and would meet in one task.
+    joined = rows.where(F.col("better").isNotNull()).join(whole, "better", "left")
+    rows = joined.unionByName(rows.where(F.col("better").isNull()).withColumn("whole", F.lit(None).cast("string"))).withColumn("x", F.coalesce("whole", "own"))
     note = F.when(F.col("better").isNotNull() & F.col("whole").isNull(), "ABSTRACT ONLY").when(F.length("x") < schema.SHORT_PAGE, "SHORT PAGE").otherwise("")
     return rows.select(
         "page_id", F.coalesce(F.col("url").rlike("(?i)^https?://[^/]+"), F.lit(False)).alias("valid"), F.when(F.col("whole").isNotNull(), F.col("better")).otherwise(F.col("url")).alias("fetched"),
