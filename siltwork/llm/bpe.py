@@ -11,6 +11,7 @@ import re
 import struct
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltwork.llm.common import Scratch, bounded
+from siltwork.llm.common import Scratch
 from siltwork.llm.words import text_runs
 
-#: The lexicon holds so many words at most, the most frequent of about so many documents.
-LEXICON, SAMPLE = 200_000, 20_000
+#: The lexicon holds so many words at most, the most frequent of all documents.
+LEXICON = 200_000
 #: Characters of text whose pieces are looked up together.
 CHUNK = 1 << 22
 #: The piece pattern of word_bpe_49k.json, with its letters, numbers and white space spelt out.
@@ -148,25 +149,30 @@ def _ranges(codes: list[int]) -> str:
 
 @functools.cache
 def library_unicode() -> tuple[dict[str, str], dict[str, tuple[str, str]]]:
-    """What Pieces needs to follow the library's Unicode version, asked of the library for all code points at once.
+    """What Pieces needs to follow the library's Unicode version, asked of the library for all code points.
 
     Lower cases of characters that Python lower-cases otherwise; and by class the ranges of characters that it has more
     and less.
     """
     from tokenizers import Regex, normalizers, pre_tokenizers
 
-    codes = [*range(0x80, 0xD800), *range(0xE000, 0x110000)]
-    text = "".join(map(chr, codes))
-    classes = {}
-    for name, theirs, ours in (("L", r"\p{L}", LETTER), ("N", r"\p{N}", NUMBER), ("S", r"\s", SPACE)):
-        held = np.ones(len(codes), bool)
-        for _, (a, b) in pre_tokenizers.Split(Regex(theirs), "removed").pre_tokenize_str(text):
-            held[a:b] = False
-        mine = regex.compile(f"[{ours}]").match
-        both = [(c, h, mine(chr(c)) is not None) for c, h in zip(codes, held.tolist(), strict=True)]
-        classes[name] = _ranges([c for c, h, m in both if h and not m]), _ranges([c for c, h, m in both if m and not h])
-    low = normalizers.Lowercase().normalize_str("\n".join(text)).split("\n")
-    return {chr(c): got for c, got in zip(codes, low, strict=True) if got != chr(c).replace("Σ", "σ").lower()}, classes
+    kinds = {"L": (r"\p{L}", LETTER), "N": (r"\p{N}", NUMBER), "S": (r"\s", SPACE)}
+    more, less, lower = {k: [] for k in kinds}, {k: [] for k in kinds}, {}
+    # In blocks, so that the driver holds few of them at once.
+    for first in range(0x80, 0x110000, 1 << 14):
+        codes = [c for c in range(first, min(first + (1 << 14), 0x110000)) if not 0xD800 <= c < 0xE000]
+        text = "".join(map(chr, codes))
+        for name, (theirs, ours) in kinds.items():
+            held = np.ones(len(codes), bool)
+            for _, (a, b) in pre_tokenizers.Split(Regex(theirs), "removed").pre_tokenize_str(text):
+                held[a:b] = False
+            mine = regex.compile(f"[{ours}]").match
+            for c, h in zip(codes, held.tolist(), strict=True):
+                if h != (mine(chr(c)) is not None):
+                    (more if h else less)[name].append(c)
+        low = normalizers.Lowercase().normalize_str("\n".join(text)).split("\n") if codes else []
+        lower |= {chr(c): got for c, got in zip(codes, low, strict=True) if got != chr(c).replace("Σ", "σ").lower()}
+    return lower, {k: (_ranges(more[k]), _ranges(less[k])) for k in kinds}
 
 
 class Transducer:
@@ -175,56 +181,39 @@ class Transducer:
     @staticmethod
     def build(words: list[bytes], ids: list[list[int]]) -> bytes:
         """The file's content; words are sorted and distinct."""
-        # States that can't change any more are shared when an equal one is registered.
-        arcs: list[dict[int, int]] = [{}]
-        final = [False]
+        # A state that can't change any more is (final, labels, targets), numbered once; targets have smaller numbers.
         register: dict[tuple, int] = {}
-        path = [0]
+        path: list[tuple[list[bool], dict[int, int]]] = [([False], {})]
         prior = b""
 
-        def settle(down_to: int) -> None:
-            while len(path) - 1 > down_to:
-                state = path.pop()
-                key = (final[state], tuple(arcs[state].items()))
-                arcs[path[-1]][prior[len(path) - 1]] = register.setdefault(key, state)
+        def settled() -> int:
+            (final,), arcs = path.pop()
+            return register.setdefault((final, bytes(arcs), tuple(arcs.values())), len(register))
 
-        for w in words:
+        for w in [*words, b""]:
             same = len(os.path.commonprefix([w, prior]))
-            settle(same)
-            for b in w[same:]:
-                arcs.append({})
-                final.append(False)
-                arcs[path[-1]][b] = len(arcs) - 1
-                path.append(len(arcs) - 1)
-            final[path[-1]] = True
+            while len(path) - 1 > same:
+                state = settled()
+                path[-1][1][prior[len(path) - 1]] = state
+            path += [([False], {}) for _ in w[same:]]
+            if w or words[:1] == [w]:
+                path[-1][0][0] = True
             prior = w
-        settle(0)
-        # Only reachable states are kept, numbered as they are found; each knows how many words follow.
-        number, order = {0: 0}, [0]
-        for s in order:
-            for t in arcs[s].values():
-                if t not in number:
-                    number[t] = len(order)
-                    order.append(t)
-        follow: dict[int, int] = {}
-        stack = [0]
-        while stack:
-            s = stack[-1]
-            todo = [t for t in arcs[s].values() if t not in follow]
-            if todo:
-                stack += todo
-            else:
-                follow[s] = final[s] + sum(follow[t] for t in arcs[s].values())
-                stack.pop()
-        keys, targets, outs = [], [], []
-        for s in order:
-            passed = int(final[s])
-            for b, t in arcs[s].items():
-                keys.append(number[s] << 8 | b)
-                targets.append(number[t])
+        settled()
+        # The root is the last; in the file it is the first. Each state knows how many words follow.
+        root = len(register) - 1
+        follow = np.zeros(len(register), np.int64)
+        keys, targets, outs, final = array("q"), array("q"), array("q"), bytearray(len(register))
+        for s, (ends, labels, below) in enumerate(register):
+            passed = int(ends)
+            for label, t in zip(labels, below, strict=True):
+                keys.append((root - s) << 8 | label)
+                targets.append(root - t)
                 outs.append(passed)
-                passed += follow[t]
-        arrays = [np.array(keys, "<i8"), np.array(targets, "<i4"), np.array(outs, "<i4"), np.array([final[s] for s in order], "u1"), np.cumsum([0, *map(len, ids)]).astype("<i4"), np.array([i for x in ids for i in x], "<u4")]
+                passed += int(follow[t])
+            follow[s] = passed
+            final[root - s] = ends
+        arrays = [np.array(keys, "<i8"), np.array(targets, "<i4"), np.array(outs, "<i4"), np.frombuffer(final, "u1"), np.cumsum([0, *map(len, ids)]).astype("<i4"), np.array([i for x in ids for i in x], "<u4")]
         by = np.argsort(arrays[0], kind="stable")
         arrays[:3] = [a[by] for a in arrays[:3]]
         head = struct.pack("<7q", max(map(len, words), default=0), *map(len, arrays))
@@ -343,7 +332,7 @@ def _count(pieces: tuple):
 
         for batch in batches:
             for t in batch["text"]:
-                found.update(p for p in cut.of(t.as_py() or "") if len(p) <= 32)
+                found.update([p for p in cut.of(t.as_py() or "") if len(p) <= 32])
                 if len(found) > 300_000:
                     yield rows()
                     found.clear()
@@ -353,20 +342,20 @@ def _count(pieces: tuple):
     return run
 
 
-def compile_lexicon(docs: DataFrame, merges: Merges, text: str = "text", words: int = LEXICON, sample: int = SAMPLE) -> bytes:
-    """The transducer file for the most frequent pieces (at most words of them) of about sample documents.
+def compile_lexicon(docs: DataFrame, merges: Merges, text: str = "text", words: int = LEXICON) -> bytes:
+    """The transducer file for the most frequent pieces (at most words of them) of all documents.
 
     What it holds changes the speed, never the ids: pieces that it lacks are merged.
     """
     scratch = Scratch(docs.sparkSession, "lexicon")
-    some = bounded(docs.select(F.col(text).alias("text")).where("text is not null"), sample, "text")
+    some = docs.select(F.col(text).alias("text")).where("text is not null")
     counts = some.mapInArrow(_count(library_unicode()), "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
     top = scratch.put(counts.orderBy(F.col("n").desc(), "piece").limit(words), "words")
-    held = sorted(r["piece"].encode() for r in top.select("piece").collect())
+    held = sorted(piece.encode() for piece in top.select("piece").toArrow()["piece"].to_pylist())
     return Transducer.build(held, [merges.merge(w) for w in held])
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = LEXICON, sample: int = SAMPLE, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), words: int = LEXICON, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """One row per input row: the keep columns, n_tokens, ids, decoded, ids_sha256 and decoded_sha256.
 
     vocabulary is a tokenizer file (BPE with word ends) that the driver reads; its content goes to the executors with
@@ -378,7 +367,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str
     """
     with open(vocabulary, encoding="utf-8") as f:
         content = f.read()
-    lexicon = compile_lexicon(docs, Merges(content), text, words, sample)
+    lexicon = compile_lexicon(docs, Merges(content), text, words)
     shared = docs.sparkSession.sparkContext.broadcast((content, lexicon, library_unicode()))
     names = [f"kept_{k}" for k in range(len(keep))]
 
