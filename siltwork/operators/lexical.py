@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ from siltwork.scratch import written
 
 #: Scores are rounded to six digits later. The share of postings up to which bounds are worth their steps.
 MARGIN, PAYS = 1e-5, 0.4
+#: Texts and queries that are packed into one row, about: a task holds one of either.
+TEXTS, QUERIES = 4096, 256
 
 
 def lengths(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -115,6 +122,98 @@ def bm25_scores_by(docs: DataFrame, queries: DataFrame, key: str, query: str, by
     return scored.join(asked, "term").groupBy("query_id", by, key).agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
 
 
+def _pack_texts(key: tuple, table: pa.Table) -> pa.Table:
+    """A block's texts in order of their keys, and its postings (place, term, weight) in order of terms."""
+    coded = table["key"].combine_chunks().dictionary_encode(null_encoding="encode")
+    order = pc.array_sort_indices(coded.dictionary, null_placement="at_start")
+    place = np.empty(len(order), np.int64)
+    place[np.asarray(order)] = np.arange(len(order))
+    places, terms, weights = place[np.asarray(coded.indices)], np.asarray(table["tid"], np.int64), np.asarray(table["w"], np.float64)
+    by = np.lexsort((places, terms))
+    packed = [pa.array([x[by].astype(kind).tobytes()], pa.binary()) for x, kind in ((places, "<i4"), (terms, "<i8"), (weights, "<f8"))]
+    keys = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), coded.dictionary.take(order))
+    return pa.Table.from_arrays([pa.array([key[1].as_py()], table.schema.field("by").type), keys, *packed], ["by", "keys", "places", "tids", "weights"])
+
+
+def _pack_queries(key: tuple, table: pa.Table) -> pa.Table:
+    at = np.argsort(np.asarray(table["query_no"], np.int64), kind="stable")
+    packed = [pa.array([np.asarray(table[c], kind)[at].tobytes()], pa.binary()) for c, kind in (("query_no", "<i8"), ("tid", "<i8"), ("factor", "<f8"))]
+    return pa.Table.from_arrays(packed, ["numbers", "asked", "factors"])
+
+
+def _block_best(k: int, kind: pa.DataType, by: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: np.frombuffer(batch[c][i].as_buffer(), t) for c, t in (("places", "<i4"), ("tids", "<i8"), ("weights", "<f8"), ("numbers", "<i8"), ("asked", "<i8"), ("factors", "<f8"))}
+                keys = batch["keys"][i].values
+                first, last = np.searchsorted(row["tids"], row["asked"]), np.searchsorted(row["tids"], row["asked"], "right")
+                starts = np.append(np.flatnonzero(np.diff(row["numbers"], prepend=-1)), len(row["numbers"]))
+                queries, places, scores = [], [], []
+                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    score, met = np.zeros(len(keys)), np.zeros(len(keys), bool)
+                    for f, l, factor in zip(first[a:b].tolist(), last[a:b].tolist(), row["factors"][a:b].tolist(), strict=True):
+                        if f < l:
+                            # A key with texts of several lengths has a posting for each.
+                            np.add.at(score, row["places"][f:l], row["weights"][f:l] * factor)
+                            met[row["places"][f:l]] = True
+                    some = np.flatnonzero(met)
+                    if len(some):
+                        best = some[np.lexsort((some, -np.round(score[some], 6)))[:k]]
+                        queries.append(np.full(len(best), row["numbers"][a]))
+                        places.append(best)
+                        scores.append(score[best])
+                if queries:
+                    n = sum(map(len, places))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(queries)), pa.array([batch["by"][i].as_py()] * n, by), keys.take(pa.array(np.concatenate(places))).cast(kind), pa.array(np.concatenate(scores))], ["query_no", "by", "key", "score"])
+
+    return run
+
+
+def bm25_best(docs: DataFrame, queries: DataFrame, key: str, query: str, k: int = schema.TOP_K, text: str = "text", query_text: str = "text", within: Column | None = None, by: str | None = None) -> DataFrame:
+    """(query_id, key, score) as bm25_scores() has it, of which top() needs no more: the k best of each block of texts.
+
+    Blocks of texts (postings of the queries' terms) meet blocks of queries where they lie, and a block returns the k best of
+    each query, so no pair of a query and a text is ever a row. With by, the k best of each value of that column of docs
+    are found, and it is returned too; a key that has rows with several values counts for each, as often as it has rows there.
+    Ties go to the smaller key.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    asked = written(query_terms(queries, query, query_text), "asked")
+    names = written(asked.select("query_id").distinct().withColumn("query_no", F.monotonically_increasing_id()), "query-numbers")
+    words = written(asked.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()), "query-words")
+    seen = Observation()
+    rows = lengths(docs, key, text).observe(seen, F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
+    own = rows.select(key, "length", F.explode("tokens").alias("term")).join(words, "term")
+    own = written(own.groupBy(key, "tid", "length").agg(F.count("*").alias("tf")), "postings")
+    n = max(seen.get.get("n") or 0, 1)
+    average = (seen.get.get("total") or 0) / n
+    df = own.groupBy("tid").agg(F.count("*").alias("df"))
+    factor = asked.join(words, "term").join(df, "tid").join(names, "query_id")
+    factor = factor.select("query_no", "tid", (idf(F.lit(n), F.col("df")) * F.col("qf")).alias("factor"))
+    if within is not None:
+        own = own.join(docs.where(within).select(key), key, "left_semi")
+    own = own.select(F.col(key).alias("key"), "tid", weight(F.col("tf"), F.col("length"), F.lit(average), F.lit(1.0)).alias("w"))
+    if by is None:
+        own = own.withColumn("by", F.lit(0))
+    else:
+        values = written(docs.groupBy(F.col(key).alias("key"), F.col(by).alias("by")).agg(F.count(F.lit(1)).alias("times")), "values")
+        own = own.join(values.select("key", "by"), "key")
+    part = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n // TEXTS))))
+    kinds = dict(own.dtypes)
+    texts = written(own.groupBy(part.alias("part"), "by").applyInArrow(_pack_texts, f"by {kinds['by']}, keys array<{kinds['key']}>, places binary, tids binary, weights binary"), "texts")
+    blocks = F.pmod(F.xxhash64("query_no"), F.lit(max(1, -(-names.count() // QUERIES))))
+    packed = written(factor.groupBy(blocks.alias("part")).applyInArrow(_pack_queries, "numbers binary, asked binary, factors binary"), "queries")
+    arrow = {c: to_arrow_type(own.schema[c].dataType) for c in ("key", "by")}
+    found = texts.crossJoin(packed).mapInArrow(_block_best(k, arrow["key"], arrow["by"]), f"query_no bigint, by {kinds['by']}, key {kinds['key']}, score double")
+    found = found.join(names, "query_no").drop("query_no")
+    if by is None:
+        return found.select("query_id", F.col("key").alias(key), "score")
+    found = found.join(values.withColumnRenamed("key", "own").withColumnRenamed("by", "value"), (F.col("key") == F.col("own")) & F.col("by").eqNullSafe(F.col("value")))
+    return found.select("query_id", F.col("by").alias(by), F.col("key").alias(key), "score", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("col")
+
+
 def top(scores: DataFrame, key: str, k: int = schema.TOP_K, *, by: tuple[str, ...] = ("query_id",), digits: int | None = 6) -> DataFrame:
     """The k best of each query with their rank; ties go to the smaller key. Scores are rounded first, so that ranks repeat."""
     score = F.round("score", digits) if digits is not None else F.col("score")

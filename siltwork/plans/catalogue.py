@@ -36,7 +36,8 @@ _LEX = "lx AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY q
 
 def _lexical(spark: SparkSession, sf_dir: str, within=None) -> DataFrame:
     docs, asked = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark")
-    return lexical.top(lexical.bm25_scores(docs, asked, "doc_id", "item_id", "text", "text", within, k=schema.TOP_K), "doc_id").select("query_id", "doc_id", "score", "rank")
+    best = lexical.top(lexical.bm25_best(docs, asked, "doc_id", "item_id", within=within), "doc_id").select("query_id", "doc_id", "score", "rank")
+    return written(best, "lexical")  # k rows a query, whose size a join with the texts knows
 
 
 @_query(rf"WITH {_TOK} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS total FROM (SELECT doc_id, unnest(w) AS term FROM tok) GROUP BY term")
@@ -84,7 +85,7 @@ def _hybrid(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     v = _t(spark, sf_dir, "embeddings")
     asked = v.join(_t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
     near = dense.dense_topk(v, asked).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
-    words = written(_lexical(spark, sf_dir), "lexical")
+    words = _lexical(spark, sf_dir)
     return near, words, fusion.rrf([near, words], ["doc_id"], ["query_id"])
 
 
@@ -100,7 +101,7 @@ SELECT query_id, index_name, doc_id, score, row_number() OVER (PARTITION BY quer
 )
 def q_rrf_multi_index(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
-    scores = lexical.bm25_scores(docs, _t(spark, sf_dir, "benchmark"), "doc_id", "item_id", "text", "text").join(docs.select("doc_id", F.col("lang").alias("index_name")), "doc_id")
+    scores = lexical.bm25_best(docs.withColumnRenamed("lang", "index_name"), _t(spark, sf_dir, "benchmark"), "doc_id", "item_id", by="index_name")
     return fusion.rrf_of_indexes(lexical.top(scores, "doc_id", by=("query_id", "index_name")), "index_name", "doc_id", "query_id")
 
 

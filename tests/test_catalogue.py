@@ -95,3 +95,24 @@ def test_bounds_keep_the_best(spark, k):
     assert rows(some) == rows(every) and some.count() < every.count()
     within = F.col("doc_id") % 3 == 0
     assert rows(lexical.bm25_scores(docs, asked, "doc_id", "q", within=within, k=k, pays=1.0)) == rows(lexical.bm25_scores(docs, asked, "doc_id", "q", within=within))
+
+
+def test_blocks_return_the_best_alone(spark, monkeypatch):
+    """Blocks give what scoring every pair gives, ties and repeated keys too, and no more than k rows a query and block."""
+    import random
+
+    rnd = random.Random(5)
+    monkeypatch.setattr(lexical, "TEXTS", 50)
+    monkeypatch.setattr(lexical, "QUERIES", 7)
+    words = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(4000)]
+    rows = [(d, rnd.choice(["a", "b", None]), " ".join(rnd.choices(words, k=rnd.randrange(0, 40)))) for d in range(200)]
+    rows += [(d + 300, "a", rows[7][2]) for d in range(20)] + [(5, "b", rows[9][2]), (5, "b", rows[5][2]), (900, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    asked = spark.createDataFrame([(q, " ".join(rnd.choices(words, k=rnd.randrange(1, 9)))) for q in range(25)] + [(50, None)], "q long, text string")
+    every = lexical.bm25_scores(docs, asked, "doc_id", "q")
+    shown = lambda s, by=(): sorted((tuple(str(r[b]) for b in by), r.query_id, r["rank"], r.doc_id, round(r.score, 5)) for r in lexical.top(s, "doc_id", 4, by=("query_id", *by)).collect())
+    best = lexical.bm25_best(docs, asked, "doc_id", "q", 4)
+    assert shown(best) == shown(every) and best.count() <= 4 * 25 * 5 < every.count()
+    within = F.col("doc_id") % 3 == 0
+    assert shown(lexical.bm25_best(docs, asked, "doc_id", "q", 4, within=within)) == shown(lexical.bm25_scores(docs, asked, "doc_id", "q", within=within))
+    assert shown(lexical.bm25_best(docs, asked, "doc_id", "q", 4, by="lang"), ["lang"]) == shown(every.join(docs.select("doc_id", "lang"), "doc_id"), ["lang"])
