@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltwork.llm.common import Scratch
+from siltwork.llm.common import Scratch, parallelism
 
 SHARD_ROWS, QUERY_ROWS = 4096, 512
 _COLUMNS = ("rows", "ids", "offsets", "terms", "weights")
@@ -58,6 +58,10 @@ class Shard:
         for t, (r, w) in self.postings.items():
             some = len(r) < len(ids)
             self.bounds[t] = (min(int(w.min()), 0) if some else int(w.min()), max(int(w.max()), 0) if some else int(w.max()))
+            if 2 * len(r) >= len(ids):  # a term of most rows is a column: no row is looked up in it
+                column = np.zeros(len(ids), np.int64)
+                column[r] = w
+                self.postings[t] = None, column
 
     def top(self, terms: np.ndarray, weights: np.ndarray, own: int, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k best (ids, scores) for a query, its own row aside; ties to the smaller id. Rows under least may be left out."""
@@ -82,28 +86,36 @@ class Shard:
         if want <= 0:
             return self.ids[:0], acc[:0]
         step = 4
-        # Essential postings are traversed whole until the others' bounds leave some rows out.
+        # Essential postings are traversed whole until the others' bounds leave some rows out; acc then holds the live rows alone.
         while i < len(part):
             for _, _, _, t, q in part[i : i + step]:
                 rows, w = self.postings[t]
+                if rows is None:
+                    w = w if live is None else w.take(live)
+                    acc += q * (w.astype(object) if whole is int else w)
+                    continue
                 w = w.astype(object) if whole is int else w
                 if live is None:
                     acc[rows] += q * w
                 else:  # probe for the rows that still compete
                     at = np.minimum(np.searchsorted(rows, live), len(rows) - 1)
-                    acc[live] += np.where(rows[at] == live, q * w[at], 0)
+                    acc += np.where(rows[at] == live, q * w[at], 0)
             i = min(i + step, len(part))
-            seen = np.flatnonzero(~out) if live is None else live
-            scores = acc[seen]
-            if len(seen) > want:
-                floor = np.sort(scores)[-want] if whole is int else np.partition(scores, -want)[-want]
+            if live is None and out.any():
+                live = np.flatnonzero(~out)
+                acc = acc[live]
+            if len(acc) > want:
+                floor = np.sort(acc)[-want] if whole is int else np.partition(acc, -want)[-want]
                 floor = floor + rest_low[i] if least is None else max(floor + rest_low[i], least)
-                keep = scores + rest_high[i] >= floor
-                if keep.mean() < 0.5 or live is not None:
-                    live = seen[keep]
-        seen = np.flatnonzero(~out) if live is None else live
-        best = seen[np.lexsort((seen, -acc[seen]))[:want]] if whole is not int else np.array(sorted(seen.tolist(), key=lambda r: (-acc[r], r))[:want], np.int64)
-        return self.ids[best], acc[best]
+                keep = acc + rest_high[i] >= floor
+                if live is not None or keep.mean() < 0.5:
+                    live = np.flatnonzero(keep) if live is None else live[keep]
+                    acc = acc[keep]
+        if live is None:
+            live = np.flatnonzero(~out)
+            acc = acc[live]
+        best = np.lexsort((live, -acc))[:want] if whole is not int else np.array(sorted(range(len(live)), key=lambda r: (-acc[r], live[r]))[:want], np.int64)
+        return self.ids[live[best]], acc[best]
 
 
 def _search(k: int):
@@ -147,7 +159,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     terms are only probed for those that compete. The first shard's k-th best is where the other shards' bar starts. Shards'
     results are merged. A query's own row is left out, but not others
     that repeat its vec_id; repeated queries are answered each. Ties go to the smaller vec_id, and fewer than k rows are all returned. Shards and query blocks are joined by
-    shard, so a task holds one of either.
+    shard in a sort-merge join, so a task holds one of either and no table of shards is on the driver.
 
     Empty tables give an empty result. Scores beyond a long are cut to its range.
     """
@@ -162,13 +174,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int =
     schema = "block bigint, query_row bigint, query_id bigint, vec_id bigint, score bigint"
     none = F.lit(None).cast("array<struct<query_row:bigint,least:bigint>>").alias("floors")
     first = F.broadcast(index.where("part = 0"))  # one row of about shard_rows vectors
-    found = scratch.put(asked.select("*", none).crossJoin(first).mapInArrow(_search(k), schema), "first")
+    dealt = asked.select("*", none).repartition(min(blocks, parallelism(spark)), "block")  # else few files hold all queries
+    found = scratch.put(dealt.crossJoin(first).mapInArrow(_search(k), schema), "first")
     if shards > 1:
         # What the first shard finds bounds the k-th best of all from below, so the others prune from the start.
         floors = found.groupBy("block", "query_row").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
         floors = floors.groupBy("block").agg(F.collect_list(F.struct("query_row", "least")).alias("floors"))  # query_rows of them at most
         later = asked.join(floors, "block", "left").withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(shards - 1).cast("long"))))
-        found = found.unionByName(index.where("part > 0").join(later, "part").mapInArrow(_search(k), schema))
+        # Packed shards are small as files and large in memory: Spark would take them for a side to broadcast.
+        found = found.unionByName(index.where("part > 0").hint("merge").join(later, "part").mapInArrow(_search(k), schema))
     best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -96,6 +96,17 @@ def test_maxscore_against_brute_force(spark, high):
     assert sorted(tuple(r) for r in maxscore.top_k(few, few.where("vec_id = 0"), 10).collect()) == brute_top(rows, 10)
 
 
+def test_maxscore_sends_no_shards_to_the_driver(spark):
+    """Shards are small as files; Spark must not take them for a side to broadcast, and query blocks are dealt to tasks."""
+    rnd = random.Random(2)
+    df = spark.createDataFrame([(i, [rnd.gauss(0, 1) if i % 3 else 0.5] + [rnd.gauss(0, 1) for _ in range(5)]) for i in range(300)], "vec_id long, embedding array<double>")
+    ints = maxscore.integer_vectors(df)
+    got = maxscore.top_k(ints, ints.where("vec_id % 100 = 0"), 10, shard_rows=64, query_rows=1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [part" in plan and "BroadcastHashJoin [part" not in plan
+    assert sorted(tuple(r) for r in got.collect()) == brute_top([(r.vec_id, list(r.weights)) for r in ints.collect()], 10)
+
+
 def test_maxscore_clamps(spark):
     """Components beyond 2**52 count as that; scores beyond a long are cut to its range."""
     df = spark.createDataFrame([(0, [1e300, 1e300]), (1, [1e300, -1e300]), (2, [1e300, 1e300])], "vec_id long, embedding array<double>")
