@@ -18,6 +18,8 @@ from siltwork.scratch import written
 MARGIN, PAYS = 1e-5, 0.4
 #: Texts and queries that are packed into one row, about: a task holds one of either.
 TEXTS, QUERIES = 4096, 256
+#: Queries' words up to which these go to all executors, which then count a text's words in place; beyond, words are joined.
+WORDS = 1 << 20
 
 
 def lengths(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -122,17 +124,65 @@ def bm25_scores_by(docs: DataFrame, queries: DataFrame, key: str, query: str, by
     return scored.join(asked, "term").groupBy("query_id", by, key).agg(F.sum(F.col("w") * F.col("qf")).alias("score"))
 
 
-def _pack_texts(key: tuple, table: pa.Table) -> pa.Table:
-    """A block's texts in order of their keys, and its postings (place, term, weight) in order of terms."""
-    coded = table["key"].combine_chunks().dictionary_encode(null_encoding="encode")
-    order = pc.array_sort_indices(coded.dictionary, null_placement="at_start")
-    place = np.empty(len(order), np.int64)
-    place[np.asarray(order)] = np.arange(len(order))
-    places, terms, weights = place[np.asarray(coded.indices)], np.asarray(table["tid"], np.int64), np.asarray(table["w"], np.float64)
-    by = np.lexsort((places, terms))
-    packed = [pa.array([x[by].astype(kind).tobytes()], pa.binary()) for x, kind in ((places, "<i4"), (terms, "<i8"), (weights, "<f8"))]
-    keys = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), coded.dictionary.take(order))
-    return pa.Table.from_arrays([pa.array([key[1].as_py()], table.schema.field("by").type), keys, *packed], ["by", "keys", "places", "tids", "weights"])
+def _counted(terms: list[str], tids: list[int]):
+    """(key, length, tids, tfs): how often a text has which of the terms, a row for each text that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, numbers = pa.array(terms, pa.string()), np.array(tids, np.int64)
+        for batch in batches:
+            tokens = batch["tokens"]
+            sizes = np.asarray(tokens.value_lengths().fill_null(0), np.int64)
+            found = np.asarray(pc.index_in(tokens.flatten(), value_set=vocabulary).fill_null(-1), np.int64)
+            held = found >= 0
+            pairs, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes)[held] * len(numbers) + found[held], return_counts=True)
+            row, term = np.divmod(pairs, max(len(numbers), 1))
+            some, counts = np.unique(row, return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            binary = lambda x: pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((ends * x.itemsize).astype("<i4").tobytes()), pa.py_buffer(x.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(some)), batch["length"].take(pa.array(some)), binary(numbers[term]), binary(tf.astype("<i4"))], ["key", "length", "tids", "tfs"])
+
+    return run
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings (key, length, tid, tf) in the form of _counted()."""
+    for batch in batches:
+        spread = [pa.array([x.tobytes() for x in np.asarray(batch[c], kind)], pa.binary()) for c, kind in (("tid", "<i8"), ("tf", "<i4"))]
+        yield pa.RecordBatch.from_arrays([batch["key"], batch["length"], *spread], ["key", "length", "tids", "tfs"])
+
+
+def _pack_texts(average: float):
+    """A block's texts in order of their keys, and its postings (place, term, weight) in order of terms; texts of one key and length count as one."""
+    k1, b = schema.BM25_K1, schema.BM25_B
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        coded = table["key"].combine_chunks().dictionary_encode(null_encoding="encode")
+        order = pc.array_sort_indices(coded.dictionary, null_placement="at_start")
+        place = np.empty(len(order), np.int64)
+        place[np.asarray(order)] = np.arange(len(order))
+        of_row = place[np.asarray(coded.indices)]
+        flat = {c: [np.frombuffer(x.as_buffer(), kind) for x in table[c]] for c, kind in (("tids", "<i8"), ("tfs", "<i4"))}
+        sizes = [len(x) for x in flat["tids"]]
+        places, lengths_ = np.repeat(of_row, sizes), np.repeat(np.asarray(table["length"], np.int64), sizes)
+        terms, tf = np.concatenate(flat["tids"]), np.concatenate(flat["tfs"]).astype(np.int64)
+        by = np.lexsort((lengths_, places, terms))
+        places, lengths_, terms, tf = places[by], lengths_[by], terms[by], tf[by]
+        starts = np.flatnonzero(np.append(True, (np.diff(terms) != 0) | (np.diff(places) != 0) | (np.diff(lengths_) != 0)))
+        places, lengths_, terms, tf = places[starts], lengths_[starts], terms[starts], np.add.reduceat(tf, starts)
+        weights = 1.0 * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths_ / (average if average > 0 else 1.0)))
+        packed = [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in ((places, "<i4"), (terms, "<i8"), (weights, "<f8"))]
+        keys = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), coded.dictionary.take(order))
+        return pa.Table.from_arrays([pa.array([key[1].as_py()], table.schema.field("by").type), keys, *packed], ["by", "keys", "places", "tids", "weights"])
+
+    return run
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tid, df) of each block."""
+    for batch in batches:
+        for tids in batch["tids"]:
+            found, counts = np.unique(np.frombuffer(tids.as_buffer(), "<i8"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], ["tid", "df"])
 
 
 def _pack_queries(key: tuple, table: pa.Table) -> pa.Table:
@@ -174,7 +224,8 @@ def bm25_best(docs: DataFrame, queries: DataFrame, key: str, query: str, k: int
     """(query_id, key, score) as bm25_scores() has it, of which top() needs no more: the k best of each block of texts.
 
     Blocks of texts (postings of the queries' terms) meet blocks of queries where they lie, and a block returns the k best of
-    each query, so no pair of a query and a text is ever a row. With by, the k best of each value of that column of docs
+    each query, so no pair of a query and a text is ever a row. A text's words are counted where it is read, and
+    a block's postings are never rows, so what a task holds is an Arrow batch or a block, however large the tables are. With by, the k best of each value of that column of docs
     are found, and it is returned too; a key that has rows with several values counts for each, as often as it has rows there.
     Ties go to the smaller key.
     """
@@ -185,27 +236,36 @@ def bm25_best(docs: DataFrame, queries: DataFrame, key: str, query: str, k: int
     words = written(asked.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()), "query-words")
     seen = Observation()
     rows = lengths(docs, key, text).observe(seen, F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"))
-    own = rows.select(key, "length", F.explode("tokens").alias("term")).join(words, "term")
-    own = written(own.groupBy(key, "tid", "length").agg(F.count("*").alias("tf")), "postings")
+    kind, form = dict(rows.dtypes)[key], "length int, tids binary, tfs binary"
+    if words.count() <= WORDS:
+        held = [(r["term"], r["tid"]) for r in words.collect()]
+        own = rows.select(F.col(key).alias("key"), "length", "tokens").mapInArrow(_counted([h[0] for h in held], [h[1] for h in held]), f"key {kind}, {form}")
+    else:
+        own = rows.select(F.col(key).alias("key"), "length", F.explode("tokens").alias("term")).join(words, "term")
+        own = own.groupBy("key", "tid", "length").agg(F.count("*").alias("tf")).select("key", "length", "tid", "tf").mapInArrow(_single, f"key {kind}, {form}")
+    own = written(own, "postings")
     n = max(seen.get.get("n") or 0, 1)
     average = (seen.get.get("total") or 0) / n
-    df = own.groupBy("tid").agg(F.count("*").alias("df"))
+    part = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n // TEXTS))))
+
+    def pack(own: DataFrame, name: str) -> DataFrame:
+        return written(own.groupBy(part.alias("part"), "by").applyInArrow(_pack_texts(average), f"by {dict(own.dtypes)['by']}, keys array<{kind}>, places binary, tids binary, weights binary"), name)
+
+    texts = pack(own.withColumn("by", F.lit(0)), "texts")
+    df = texts.select("tids").mapInArrow(_frequencies, "tid bigint, df bigint").groupBy("tid").agg(F.sum("df").alias("df"))
     factor = asked.join(words, "term").join(df, "tid").join(names, "query_id")
     factor = factor.select("query_no", "tid", (idf(F.lit(n), F.col("df")) * F.col("qf")).alias("factor"))
     if within is not None:
-        own = own.join(docs.where(within).select(key), key, "left_semi")
-    own = own.select(F.col(key).alias("key"), "tid", weight(F.col("tf"), F.col("length"), F.lit(average), F.lit(1.0)).alias("w"))
-    if by is None:
-        own = own.withColumn("by", F.lit(0))
-    else:
+        own = own.join(docs.where(within).select(F.col(key).alias("key")), "key", "left_semi")
+    if by is not None:
         values = written(docs.groupBy(F.col(key).alias("key"), F.col(by).alias("by")).agg(F.count(F.lit(1)).alias("times")), "values")
         own = own.join(values.select("key", "by"), "key")
-    part = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n // TEXTS))))
-    kinds = dict(own.dtypes)
-    texts = written(own.groupBy(part.alias("part"), "by").applyInArrow(_pack_texts, f"by {kinds['by']}, keys array<{kinds['key']}>, places binary, tids binary, weights binary"), "texts")
+    if within is not None or by is not None:
+        texts = pack(own if by is not None else own.withColumn("by", F.lit(0)), "some-texts")
+    kinds = dict(texts.dtypes) | {"key": kind}
     blocks = F.pmod(F.xxhash64("query_no"), F.lit(max(1, -(-names.count() // QUERIES))))
     packed = written(factor.groupBy(blocks.alias("part")).applyInArrow(_pack_queries, "numbers binary, asked binary, factors binary"), "queries")
-    arrow = {c: to_arrow_type(own.schema[c].dataType) for c in ("key", "by")}
+    arrow = {"key": to_arrow_type(texts.schema["keys"].dataType.elementType), "by": to_arrow_type(texts.schema["by"].dataType)}
     found = texts.crossJoin(packed).mapInArrow(_block_best(k, arrow["key"], arrow["by"]), f"query_no bigint, by {kinds['by']}, key {kinds['key']}, score double")
     found = found.join(names, "query_no").drop("query_no")
     if by is None:

@@ -116,3 +116,18 @@ def test_blocks_return_the_best_alone(spark, monkeypatch):
     within = F.col("doc_id") % 3 == 0
     assert shown(lexical.bm25_best(docs, asked, "doc_id", "q", 4, within=within)) == shown(lexical.bm25_scores(docs, asked, "doc_id", "q", within=within))
     assert shown(lexical.bm25_best(docs, asked, "doc_id", "q", 4, by="lang"), ["lang"]) == shown(every.join(docs.select("doc_id", "lang"), "doc_id"), ["lang"])
+
+
+def test_words_are_counted_where_texts_are_read(spark, monkeypatch):
+    """Postings need neither shuffle nor hash table; with more words of queries than go to executors the result is the same."""
+    plans, real = {}, lexical.written
+    monkeypatch.setattr(lexical, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and real(df, name))
+    rows = [(d, f"w{d % 7} the w{d % 5} the", "ab"[d % 2]) for d in range(60)] + [(3, "the w1", "a"), (4, "w4 the w4 the", None), (None, "the", "a"), (70, "", "b"), (71, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "The w1 w2 w2"), (2, "w4 nowhere"), (3, "nothing"), (4, None)], "q long, text string")
+    shown = lambda by=None, within=None: sorted(map(str, lexical.top(lexical.bm25_best(docs, asked, "doc_id", "q", 5, by=by, within=within), "doc_id", 5, by=("query_id", *([by] if by else []))).collect()))
+    got = [shown(), shown("lang"), shown(within=F.col("lang") == "a")]
+    assert got[0] == sorted(map(str, lexical.top(lexical.bm25_scores(docs, asked, "doc_id", "q"), "doc_id", 5).select(*lexical.top(lexical.bm25_best(docs, asked, "doc_id", "q", 5), "doc_id", 5).columns).collect()))
+    assert "Aggregate" not in plans["postings"] and "Exchange" not in plans["postings"] and "Join" not in plans["postings"]
+    monkeypatch.setattr(lexical, "WORDS", 0)
+    assert [shown(), shown("lang"), shown(within=F.col("lang") == "a")] == got
