@@ -16,8 +16,8 @@ from siltwork.llm.words import mix, text_runs, word_hashes
 
 #: Shingles that a task of the join holds, about: at least and at most (8 bytes each, and their points).
 LEAST, MOST = 1 << 16, 1 << 20
-#: Points of a leaf, and about how many members a large group is first compared with.
-LEAF, PIVOTS = 32, 16
+#: Points of a leaf, about how many members a large group is first compared with, and counts of a tree (2 bytes each).
+LEAF, PIVOTS, POINTS = 32, 16, 1 << 25
 #: Sets of a cell up to which its pairs are counted; a larger one is a star.
 PAIRED = 64
 #: Up to so many keys (8 bytes each) go to all executors to leave other texts out of a shuffle; beyond, all texts are shuffled.
@@ -72,17 +72,24 @@ class Directory:
     def may_lack(self, n: int) -> int:
         return n * (100 - self.percent) // 100
 
+    def code(self, n: int, looked: int, which: int) -> int:
+        """A set's size, how many of the shared ones come first less the number looked up, and the directory."""
+        return n << 33 | (self.may_lack(n) + 1 - looked + _MIDDLE) << 1 | which
+
     def lookups(self, shingles: np.ndarray) -> list[tuple[np.ndarray, int]]:
-        """(coordinates, code) in either directory; code holds the set's size, how many of the shared ones come first less their number, and the directory."""
+        """(coordinates, code) in either directory."""
         n = len(shingles)
-        first = self.may_lack(n) + 1
         held = shingles[: np.searchsorted(shingles, self.limit, "right")]
-        code = lambda looked, which: n << 33 | (first - looked + _MIDDLE) << 1 | which
-        out = [(held, code(len(held), 0))]
-        if len(held) < first:
-            out.append((mix(shingles ^ _WHOLE), code(n, 1)))
+        out = [(held, self.code(n, len(held), 0))]
+        if len(held) <= self.may_lack(n):
+            out.append((mix(shingles ^ _WHOLE), self.code(n, n, 1)))
         return out
 
+    def within(self, shingles: np.ndarray, cluster: int) -> tuple[np.ndarray, int]:
+        """All coordinates, in a directory of the cluster's own sets, and the code."""
+        n = len(shingles)
+        return mix(shingles ^ np.uint64(cluster % (1 << 64))), self.code(n, n, 1)
+
 
 def _size(code: Column) -> Column:
     return F.shiftright(code, 33)
@@ -118,16 +125,38 @@ def _signed(width: int, percent: int):
     return run
 
 
+def _rows(keys: list[np.ndarray], ids: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(h, id, code) for each key of each set."""
+    sizes = [len(k) for k in keys]
+    ids, codes = np.repeat(ids, sizes), np.repeat(codes, sizes)
+    flat = np.concatenate([*keys, np.zeros(0, np.int64)])
+    for i in range(0, len(flat), 1 << 17):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in (flat, ids, codes)], ["h", "id", "code"])
+
+
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each coordinate that a set looks up."""
     for batch in batches:
         for name in ("part", "whole"):
             keys = [np.frombuffer(s.as_buffer(), "<i8") if s.is_valid else np.zeros(0, np.int64) for s in batch[name]]
-            sizes = [len(k) for k in keys]
-            ids, codes = np.repeat(np.asarray(batch["id"]), sizes), np.repeat(np.asarray(batch[f"{name}_code"].fill_null(0)), sizes)
-            flat = np.concatenate([*keys, np.zeros(0, np.int64)])
-            for i in range(0, len(flat), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in (flat, ids, codes)], ["h", "id", "code"])
+            yield from _rows(keys, np.asarray(batch["id"]), np.asarray(batch[f"{name}_code"].fill_null(0)))
+
+
+def _spread_within(width: int, percent: int):
+    """A row for each coordinate of a cluster's member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory = Directory(percent)
+        for batch in batches:
+            for first, texts in text_runs(batch["text"], 1 << 21):
+                own = batch.slice(first, len(texts))
+                columns = [own[c].to_pylist() for c in ("cluster", "member", "digest")]
+                found = [(member, *directory.within(s, cluster)) for cluster, member, digest, s in zip(*columns, shingle_sets(texts, width), strict=True) if digest_of(s) == digest]
+                if found:  # else other texts of the same ids and hashes
+                    ids, keys, codes = zip(*found, strict=True)
+                    yield from _rows([k.view(np.int64) for k in keys], np.array(ids, np.int64), np.array(codes, np.int64))
+
+    return run
 
 
 class Tree:
@@ -154,7 +183,8 @@ class Links:
     def __init__(self, sets: list[np.ndarray], percent: int, labels: list | None = None) -> None:
         self.sets, self.percent = sets, percent
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        groups = 1 << min(10, max(4, (int(self.sizes.max(initial=1)) // 8).bit_length()))
+        # About one group for each shingle of the largest set, so that the bound leaves few pairs, but POINTS counts at most.
+        groups = 1 << max(4, min(10, int(self.sizes.max(initial=1)).bit_length(), (POINTS // max(1, len(sets))).bit_length() - 1))
         points = np.stack([np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups) for s in sets])
         self.points = points.astype(np.int16 if points.max() < 1 << 15 else np.int32)
         self.root = list(range(len(sets)))
@@ -275,9 +305,8 @@ def _paired(cells: DataFrame, percent: int) -> DataFrame:
     return pairs.where(F.col("common") >= F.least(least("a"), least("b")) + overlap).select("src", "dst")
 
 
-def _clusters(signed: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """(cluster, member, doc, th, n, digest) of the classes whose root bound leaves them, by the coordinates they share."""
-    looked = signed.where("part is not null").select("id", "part", "part_code", "whole", "whole_code").mapInArrow(_spread, "h bigint, id bigint, code bigint")
+def _candidates(looked: DataFrame, percent: int, scratch: Scratch, label: str) -> DataFrame:
+    """(id, cluster) of the sets of looked(h, id, code) whose bound leaves them, by the coordinates they share."""
     shared = scratch.put(looked.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     of_set = Window.partitionBy("id", "code")
     # Rare coordinates come first. Those of one set alone are before all of these and shared with none.
@@ -288,10 +317,41 @@ def _clusters(signed: DataFrame, classes: DataFrame, percent: int, scratch: Scra
     cells = cells.join(hubs, "h")
     stars = cells.where(F.col("k") > PAIRED).where("id <> hub").select(F.col("id").alias("src"), F.col("hub").alias("dst")).distinct()
     pairs = _paired(cells.where(F.col("k") <= PAIRED).select("h", "id", "code"), percent)
-    found = connected_components(stars.unionByName(pairs), scratch, "candidates").select(F.col("node").alias("id"), F.col("comp").alias("cluster"))
-    members = scratch.put(classes.join(found, "id").select("cluster", F.col("row").alias("member"), "doc", "th", "n", "digest"), "members")
+    found = scratch.put(connected_components(stars.unionByName(pairs), scratch, "candidates").select(F.col("node").alias("id"), F.col("comp").alias("cluster")), label)
     scratch.drop("shared", "cells", "hubs")
-    return members
+    return found
+
+
+def _clusters(signed: DataFrame, classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(cluster, member, doc, th, n, digest) of the classes whose root bound leaves them."""
+    looked = signed.where("part is not null").select("id", "part", "part_code", "whole", "whole_code").mapInArrow(_spread, "h bigint, id bigint, code bigint")
+    found = _candidates(looked, percent, scratch, "clusters")
+    return scratch.put(classes.join(found, "id").select("cluster", F.col("row").alias("member"), "doc", "th", "n", "digest"), "members")
+
+
+def _of_members(texts: DataFrame, members: DataFrame, many: int) -> DataFrame:
+    """The texts, those of others left out where the members are few."""
+    if many > KEYS:
+        return texts
+    keys = members.select(F.xxhash64("doc", "th").alias("key")).distinct()
+    return texts.join(F.broadcast(keys), F.xxhash64("doc", "th") == F.col("key"), "left_semi")
+
+
+def _split(texts: DataFrame, members: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """members, with clusters above PAIRED sets clustered again by all coordinates of their sets."""
+    size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > PAIRED)
+    large = scratch.put(members.join(size, "cluster").select("cluster", "member", "doc", "th", "n", "digest"), "large")
+    many = large.count()
+    if not many:
+        return members
+    dealt = large.select(F.col("doc").alias("own"), F.col("th").alias("own_th"), "cluster", "member", "digest")
+    read = _of_members(texts, large, many).join(dealt, F.col("doc").eqNullSafe(F.col("own")) & (F.col("th") == F.col("own_th"))).select("text", "cluster", "member", "digest")
+    looked = scratch.put(read.mapInArrow(_spread_within(width, percent), "h bigint, id bigint, code bigint"), "looked")
+    found = _candidates(looked, percent, scratch, "split-clusters")
+    again = large.drop("cluster").join(found, F.col("member") == F.col("id")).select("cluster", "member", "doc", "th", "n", "digest")
+    out = scratch.put(members.join(size, "cluster", "left_anti").unionByName(again), "split")
+    scratch.drop("large", "looked", "members")
+    return out
 
 
 def _links(texts: DataFrame, members: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -303,9 +363,7 @@ def _links(texts: DataFrame, members: DataFrame, width: int, percent: int, scrat
     members = members.join(size, "cluster").withColumn("parts", F.ceil(F.col("shingles") / unit).cast("long"))
     members = scratch.put(members.select("cluster", "member", "doc", "th", "digest", "k", "parts", F.pmod(F.xxhash64("member"), F.col("parts")).alias("part")), "dealt")
     scratch.drop("sizes")
-    if (total[1] or 0) <= KEYS:
-        keys = members.select(F.xxhash64("doc", "th").alias("key")).distinct()
-        texts = texts.join(F.broadcast(keys), F.xxhash64("doc", "th") == F.col("key"), "left_semi")
+    texts = _of_members(texts, members, total[1] or 0)
 
     def joined(dealt: DataFrame, label: str) -> DataFrame:
         """dealt(cluster, member, doc, th, digest, label, a, b): the links within each unit (a, b)."""
@@ -359,6 +417,7 @@ def _components(docs: DataFrame, text: str, id_col: str, width: int, percent: in
     members = _clusters(signed, classes, percent, scratch)
     rows = scratch.put(rows.drop("id"), "rows")
     scratch.drop("signed")
+    members = _split(texts, members, width, percent, scratch)
     links = _links(texts, members, width, percent, scratch)
     found = connected_components(links, scratch, "links-cc").select(F.col("node").alias("row"), F.col("comp").alias("class"))
     known = classes.select("row", "digest", "doc").join(found, "row", "left").select("digest", "doc", F.coalesce("class", "row").alias("class"))
@@ -387,7 +446,9 @@ def similar_documents(docs: DataFrame, text: str = "text", id_col: str = "doc_id
        done with; this leaves few besides copies. See Directory for which coordinates are looked up.
     2. The next level has a cell for each coordinate. A point belongs to the cells of its rarest coordinates only, so
        many that all others together can't reach what a link needs. Connected components of points that share a cell
-       are clusters: no link leaves one, and a hot cell is a star, never its pairs.
+       are clusters: no link leaves one, and a hot cell is a star, never its pairs. A cluster above PAIRED sets goes through
+       both levels again, with all coordinates of its sets, among these alone: texts that share a passage but are otherwise
+       unlike are done with, so they never meet pair by pair.
     3. A cluster is an R-tree over coarser groups, joined node against node; pairs that survive are verified by their sets, but
        for those already connected. A cluster beyond a task is dealt in parts that are joined within, and with a few pivots.
        Then only the members outside the cluster's largest component so far meet all parts, so that

@@ -214,3 +214,32 @@ def test_passages_shared_by_unlike_texts_make_no_cluster(spark):
         jaccard._links = plain
     assert got == {k: k for k in range(120)} | {120 + k: 10 * k for k in range(12)}
     assert max(seen) <= 4  # before, all of them were one
+
+
+def test_texts_with_a_common_passage_do_not_meet(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    passage = [" ".join(word() for _ in range(18)) for _ in range(2)]
+    rows = []
+    for k in range(600):  # sentences of their own, which others have too, and one of two passages
+        own = " ".join(f"s{k // 2 * 2 + j}w{i}" for j in (0, k % 2) for i in range(9))
+        rows.append((k, f"{own} {passage[k % 2]}"))
+    rows += [(1000 + k, f"{rows[k][1]} more") for k in range(0, 600, 50)]
+    seen, plain = [], jaccard._links
+    jaccard._links = lambda t, members, *a: seen.append(members.groupBy("cluster").count().agg({"count": "max"}).first()[0]) or plain(t, members, *a)
+    try:
+        got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), width=5, percent=80).collect()
+    finally:
+        jaccard._links = plain
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 5, 80))
+    assert seen[0] <= jaccard.PAIRED  # one cluster of most texts before
+
+
+def test_tree_of_fine_counts_verifies_few():
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(400)]
+    sets = [np.unique(np.array([x if rng.random() < 0.8 else rng.getrandbits(64) for x in base], np.uint64)) for _ in range(200)]
+    links, done = jaccard.Links(sets, 80), []
+    plain = links._verify
+    links._verify = lambda a, b: done.append((a, b)) or plain(a, b)
+    assert links.join() == [] and len(done) < 200 * 199 // 20  # most pairs before: a group held several shingles
