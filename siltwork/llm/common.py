@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: With this, the shuffle files of a write go when it ends; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _ROOTS: dict[str, str] = {}
 
 
@@ -53,7 +56,12 @@ class Scratch:
 
     def put(self, df: DataFrame, label: str) -> DataFrame:
         self.labels.add(label)
-        df.write.option("compression", "zstd").mode("overwrite").parquet(self.path(label))
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")  # what is written is read from here on, not from its shuffles
+        try:
+            df.write.option("compression", "zstd").mode("overwrite").parquet(self.path(label))
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
     def drop(self, *labels: str) -> None:

@@ -277,3 +277,21 @@ def test_lexicon_is_built_in_little_memory():
         assert tracemalloc.get_traced_memory()[1] < 300 * len(words)
     finally:
         tracemalloc.stop()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    from siltwork.llm.common import CLEANUP, Scratch
+
+    folders = [Path(str(f)) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {f for d in folders for f in d.rglob("shuffle_*.data")}
+    before, scratch = held(), Scratch(spark, "shuffles")
+    rows = scratch.put(spark.range(100_000).repartition(5, "id"), "rows")
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before  # they stayed before
+    assert rows.count() == 100_000 and spark.conf.get(CLEANUP, None) is None
