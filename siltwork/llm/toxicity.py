@@ -21,6 +21,8 @@ SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*")
 SAMPLE, CHARS, FEATURES, SEEN = 4000, 1 << 26, 4096, 5
 PREFIXES = (4, 5, 6)
 STEPS, RATE, PENALTY = 300, 0.1, 3e-4
+#: Rows that a worker returns at once.
+ROWS = 500
 
 
 def features_of(word: str) -> list[str]:
@@ -220,6 +222,23 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
 
 def clean_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs that are not predicted toxic, with their own columns."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    return score(row, model, "_text", ("_row",)).where("predicted = 0").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    """The rows of docs that are not predicted toxic, with their own columns.
+
+    A row goes to a worker once, its text in it, and only rows that stay come back, ROWS at a time.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"kept_{k}" for k in range(len(docs.columns))]
+    own = text in docs.columns
+    at = names[docs.columns.index(text)] if own else "text"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                some = batch.slice(first, ROWS)
+                clean = pa.array([model.score(t.as_py()) < 0.5 for t in some[at]], pa.bool_())
+                yield some.select(names).filter(clean)
+
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], *([] if own else [F.col(text).alias("text")]))
+    found = rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes if n in names))
+    return found.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

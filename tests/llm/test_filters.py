@@ -226,6 +226,16 @@ def test_toxicity(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == odd.count()
 
 
+def test_clean_documents_sends_texts_once(spark):
+    docs = spark.createDataFrame([(k, "you moron" if k % 3 == 0 else None if k % 3 == 1 else "a fine day", k * 0.5) for k in range(1600)], "`doc id` long, text string, `a:b` double")
+    kept = toxicity.clean_documents(docs, toxicity.Model({"moron": 9.0}, -4.0))
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in docs.collect() if r[0] % 3)
+    sent = [line for line in kept._jdf.queryExecution().analyzed().toString().splitlines() if "Project" in line][-1]
+    assert sent.count("text#") == 1
+    nested = docs.select(F.struct("text").alias("body"), F.col("doc id").alias("k"))
+    assert toxicity.clean_documents(nested, toxicity.Model({"moron": 9.0}, -4.0), "body.text").count() == kept.count()
+
+
 def test_noisy_or():
     model = toxicity.Model({"bad": 3.0}, -1.0)
     p = model.sentence_scores("bad one. fine. so bad bad")
